@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import packing, quality_rules, sstable, url_filters
+from paceline.llm import fingerprints, packing, quality_rules, sstable, url_filters
 from paceline.llm.common import table
 from paceline.llm.oracles import ORACLES
 
@@ -33,6 +33,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, length=1024)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
@@ -44,6 +48,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_sstable": op5_sstable,
     "op6_quality_rules": op6_quality_rules,
 }
