@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import fingerprints, packing, quality_rules, sstable, url_filters
+from paceline.llm import fingerprints, packing, quality_rules, sstable, url_filters, word_table
 from paceline.llm.common import table
 from paceline.llm.oracles import ORACLES
 
@@ -45,12 +45,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_sstable": op5_sstable,
     "op6_quality_rules": op6_quality_rules,
+    "op8_bpe": op8_bpe,
 }
 
 

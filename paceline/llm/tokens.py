@@ -119,8 +119,13 @@ class WordEncoder(CachedEncoder):
         super().__init__(path)
         self.bpe = WordBpe(path)
 
+    @classmethod
+    def odd(cls, text: str) -> bool:
+        """Whether Python and the library part this text differently."""
+        return cls._odd.search(text) is not None
+
     def pieces(self, text: str) -> list[str] | None:
-        return None if self._odd.search(text) else text.split()
+        return None if self.odd(text) else text.split()
 
     def encode_pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = self.bpe.simple.fullmatch
