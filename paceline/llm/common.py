@@ -63,3 +63,21 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Characters of text that one block of documents holds, about.
+BLOCK_CHARS = 6_000_000
+
+
+def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, text (never null) and the block that each row belongs to, dealt out by block.
+
+    Rows are dealt by doc_id and place, so copies of a text, or rows of one identifier, spread over blocks.
+    """
+    spark = docs.sparkSession
+    n = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    many = max(2 * n, size // block_chars + 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(int(many))).cast("int")
+    return rows.withColumn("block", dealt).repartition(n, "block")

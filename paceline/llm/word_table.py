@@ -5,7 +5,7 @@ the word table that the word's hash names; each part encodes a distinct word onc
 and answers every block with the ids of its words in the order sent; the block then joins ids back by position.
 Decoding joins each id to its piece in the vocabulary, a table as large as the tokenizer file and no larger.
 
-Blocks are groups of documents of about ``BLOCK_CHARS`` characters, dealt by row, so copies of one text spread
+Blocks are groups of documents of some million characters, dealt by row, so copies of one text spread
 over blocks, and a word that is in every text is sent once for each block and encoded once.
 
 Nulls, empties and ties: a null text is empty and gives no ids, the digest of the empty string, and an empty
@@ -22,29 +22,16 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from paceline.llm.common import partitions
+from paceline.llm.common import in_blocks, partitions
 from paceline.llm.tokens import WordEncoder, encoder
 
-BLOCK_CHARS = 6_000_000
 #: Parts of the word table for each shuffle partition.
 PARTS = 4
 
 _PIECES: dict[str, list[str]] = {}
 
 
-def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, text (never null) and the block that each row belongs to, dealt out by block."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    many = max(2 * n, size // block_chars + 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(int(many))).cast("int")
-    return rows.withColumn("block", dealt).repartition(n, "block")
-
-
 def words_by_part(texts: list[str], parts: int) -> dict[int, list[str]]:
     """The distinct words of a block, sorted, by the part of the table that keeps them."""
     found: set[str] = set()
@@ -110,7 +97,7 @@ def pieces_of(tokenizer: str) -> list[str]:
 def encode_and_decode(docs: DataFrame, tokenizer: str, texts_out: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; with texts_out the ids and texts too."""
     parts = PARTS * partitions(docs.sparkSession)
-    dealt = blocks(docs)
+    dealt = in_blocks(docs)
     replies = answer(send_words(dealt, parts), tokenizer)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
