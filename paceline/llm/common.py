@@ -69,8 +69,9 @@ def partitions(spark: SparkSession) -> int:
 BLOCK_CHARS = 6_000_000
 
 
-def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, text (never null) and the block that each row belongs to, dealt out by block.
+def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: bool = False) -> DataFrame:
+    """doc_id, text (never null) and the block that each row belongs to, dealt out by block; with carry also rest,
+    a struct of all other columns.
 
     Rows are dealt by doc_id and place, so copies of a text, or rows of one identifier, spread over blocks.
     """
@@ -78,6 +79,10 @@ def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     n = partitions(spark)
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     many = max(2 * n, size // block_chars + 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("rest")]
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+        *(more if carry and len(docs.columns) > 2 else []),
+    )
     dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(int(many))).cast("int")
     return rows.withColumn("block", dealt).repartition(n, "block")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import fingerprints, ngram_join, packing, quality_rules, sstable, url_filters, word_table
+from paceline.llm import fingerprints, ngram_join, packing, quality_rules, sstable, suffix_dedup, url_filters, word_table
 from paceline.llm.common import table
 from paceline.llm.oracles import ORACLES
 
@@ -49,6 +49,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.join(table(spark, sf_dir, "documents"), n=4, threshold=85)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sstable": op5_sstable,
     "op6_quality_rules": op6_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 
