@@ -86,3 +86,10 @@ def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: bool = Fal
     )
     dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(int(many))).cast("int")
     return rows.withColumn("block", dealt).repartition(n, "block")
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

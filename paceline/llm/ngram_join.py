@@ -129,11 +129,12 @@ def count_classes(dealt: DataFrame, n: int) -> tuple[DataFrame, int]:
 
 
 def ordered_sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """A row for each document: doc_id, n_grams, node and, for the first of a node in a block that may have links,
+    """A row for each document: doc_id, text_hash, n_grams, node and, for the first of a node in a block that may have links,
     rest (n-grams past the prefix), central, shared (prefix n-grams of more than one set, in global order) and
     grams (the whole set)."""
     dealt = in_blocks(docs)
     classes, parts = count_classes(dealt, n)
+    dealt = dealt.withColumn("text_hash", F.xxhash64("text"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nodes, found = distinct_sets(list(left["text"]), n)
@@ -145,10 +146,10 @@ def ordered_sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
             if len(got) == at[p + 1] - at[p]:
                 rank[at[p] : at[p + 1]] = got
         rows, seen = [], set()
-        for doc_id, node in zip(left["doc_id"], nodes):
+        for doc_id, text_hash, node in zip(left["doc_id"], left["text_hash"], nodes):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
             grams = found[node] if node is not None else ()
-            row = [doc_id, len(grams), node, None, None, None, None]
+            row = [doc_id, text_hash, len(grams), node, None, None, None, None]
             if node is not None and node not in seen:
                 seen.add(node)
                 r = rank[np.searchsorted(keys, grams >> np.uint64(64 - KEY_BITS))]
@@ -157,14 +158,14 @@ def ordered_sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
                 first = order[:size]
                 shared = grams[first[r[first] > 0]]
                 if len(shared):
-                    row[3:] = [len(grams) - size, float(r.mean()), shared.tobytes(), grams.tobytes()]
+                    row[4:] = [len(grams) - size, float(r.mean()), shared.tobytes(), grams.tobytes()]
             rows.append(row)
-        out = pd.DataFrame(rows, columns=["doc_id", "n_grams", "node", "rest", "central", "shared", "grams"])
+        out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_grams", "node", "rest", "central", "shared", "grams"])
         for c in ("doc_id", "node", "rest"):
             out[c] = pd.array(out[c].tolist(), dtype="Int64")
         return out
 
-    schema = "doc_id long, n_grams long, node long, rest long, central double, shared binary, grams binary"
+    schema = "doc_id long, text_hash long, n_grams long, node long, rest long, central double, shared binary, grams binary"
     return dealt.groupBy("block").cogroup(classes.groupBy("block")).applyInPandas(run, schema)
 
 
@@ -281,8 +282,9 @@ def walk_trees(rows: DataFrame, sets: DataFrame, hot: DataFrame, threshold: int)
     return full.groupBy("gram", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and node of every document; linked texts share a component_id."""
+def linked(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Every document (doc_id, text_hash, n_shingles, node, group: the smallest node reachable, null without
+    n-grams), and the confirmed links (a, b)."""
     every = stored(ordered_sets(docs, n, threshold), "sets")
     held = every.where("shared is not null").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("n_grams", "rest", "central", "shared", "grams")]
@@ -310,15 +312,22 @@ def join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     more = confirm(pairs, sets, threshold)
     links = stored(more if links is None else links.union(more), "links")
     label = components(links).select("node", F.col("component").alias("group"))
-    keyed = every.select("doc_id", F.col("n_grams").alias("n_shingles"), "node")
+    keyed = every.select("doc_id", "text_hash", F.col("n_grams").alias("n_shingles"), "node")
     grouped = keyed.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    grouped = stored(grouped, "grouped")
-    least = stored(grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")
+    return stored(grouped, "grouped"), links
+
+
+def join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, node and n_links (confirmed links of the node to other nodes) of every
+    document; linked texts share a component_id."""
+    grouped, links = linked(docs, n, threshold)
+    least = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    out = grouped.join(least, "group", "left").join(degree.withColumnRenamed("a", "node"), "node", "left")
+    degree = stored(degree.withColumnRenamed("a", "node"), "degree")
+    out = grouped.join(stored(least, "least"), "group", "left").join(degree, "node", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node",
-        F.coalesce("n_links", F.lit(0)).alias("n_confirmed"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
@@ -336,8 +345,12 @@ def _shared_rows(sets: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of docs that are the first of their component: all columns, one row for each."""
-    found = join(docs, n, threshold)
-    lead = found.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(stored(lead, "leads").withColumnRenamed("doc_id", "__lead"), F.col("doc_id").eqNullSafe(F.col("__lead")))
-    return kept.drop("__lead").dropDuplicates(["doc_id"])
+    """One document of each component, the one of least doc_id, with all columns of docs. Documents without words
+    all stay; rows of equal doc_id and text stay once."""
+    grouped, _ = linked(docs, n, threshold)
+    lead = grouped.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    lead = lead.select("x.*").union(grouped.where("group is null").select("doc_id", "text_hash")).distinct()
+    lead = stored(lead.toDF("__id", "__h"), "leads")
+    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
+    return keyed.join(lead, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
