@@ -107,19 +107,20 @@ def byte_characters() -> dict[int, str]:
     return out
 
 
-class WordBpe:
-    """BPE with word ends, for lower-cased words of Latin letters; others are left to the library."""
+class ArrayBpe:
+    """BPE of many pieces at once, for pieces of Latin characters; others are left to the library."""
 
     #: Characters whose handling is known to agree with the library: up to Latin Extended-A.
-    simple = re.compile("[!-~¡-¬®-ſ]+")
-    _cut = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
+    simple = re.compile("[!-~¡-¬®-ſ\n]+")
+    separator = "\0"
+    cut: re.Pattern
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        end = model["end_of_word_suffix"]
+        end = model["end_of_word_suffix"] or ""
         left = np.array([vocab[a] for a, _ in pairs])
         right = np.array([vocab[b] for _, b in pairs])
         merged = np.array([vocab[a + b] for a, b in pairs])
@@ -128,34 +129,55 @@ class WordBpe:
         self.inner = np.array([vocab[chars[b]] for b in range(256)])
         self.final = np.array([vocab[chars[b] + end] for b in range(256)])
 
+    def joined(self, pieces: Sequence[str]) -> str:
+        raise NotImplementedError
+
     def encode(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces without white space, each matching ``simple`` whole."""
-        text = "\n".join(pieces)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        cut = self._cut.findall(text.lower())
+        """Ids of pieces, each matching ``simple`` whole, one after another, and how many each has."""
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = self.cut.findall(self.joined(pieces))
         rows = {w: i for i, w in enumerate(dict.fromkeys(cut))}
-        words = list(rows)
-        data = [w.encode() for w in words]
+        data = [w.encode() for w in rows]
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         raw = np.frombuffer(b"".join(data), np.uint8)
         symbols = self.inner[raw]
         last = np.cumsum(sizes) - 1
         symbols[last] = self.final[raw[last]]
         ids, counts = merge_words(symbols, sizes, self.table)
-        if "\n" in rows:
-            gone = rows["\n"]
+        gone = rows.get(self.separator, -1)
+        if gone >= 0:
             start = int(counts[:gone].sum())
             ids = np.delete(ids, slice(start, start + counts[gone]))
             counts[gone] = 0
         starts = np.concatenate([[0], np.cumsum(counts)])
         order = np.fromiter(map(rows.__getitem__, cut), np.int64, len(cut))
         flat, at = gather(ids, starts, order)
-        breaks = np.flatnonzero(order == rows.get("\n", -1))
-        ends = np.append(at[breaks], at[-1])
+        ends = np.append(at[np.flatnonzero(order == gone)], at[-1])
         return flat, np.diff(ends, prepend=0)
 
 
+class WordBpe(ArrayBpe):
+    """Lower-cased words with word ends; white space is dropped."""
+
+    cut = re.compile(r"\0|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w\0]|_)+")
+
+    def joined(self, pieces: Sequence[str]) -> str:
+        text = self.separator.join(pieces)
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+
+
+class ByteBpe(ArrayBpe):
+    """Bytes, a space going with the word after it; every piece follows a space."""
+
+    cut = re.compile(
+        r"\0|'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼-¾]+| ?[\d²³¹¼-¾]+| ?(?:[^\s\w\0]|_)+|\s+(?![^\s\0])|\s+"
+    )
+
+    def joined(self, pieces: Sequence[str]) -> str:
+        return " " + (self.separator + " ").join(pieces)
+
+
 def gather(flat: np.ndarray, start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[start[r]:start[r+1]] of the given rows one after another, and where each begins."""
     sizes = start[rows + 1] - start[rows]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paceline.llm import fingerprints, ngram_join, packing, quality_rules, sstable, suffix_dedup, url_filters, word_table
+from paceline.llm import fingerprints, katz, ngram_join, packing, quality_rules, sstable, suffix_dedup, url_filters, word_table
 from paceline.llm.common import table, tokenizer_file
 from paceline.llm.oracles import ORACLES
 
@@ -24,6 +24,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), held_out=lambda doc_id: katz.fold(doc_id) == 2)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, length=1024)
 
@@ -55,6 +59,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_katz": op2_katz,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_sstable": op5_sstable,

@@ -12,10 +12,10 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from paceline.llm.bpe import WordBpe, byte_characters, gather
+from paceline.llm.bpe import ArrayBpe, ByteBpe, WordBpe, gather
 
 #: Pieces kept in each of the cache's two generations.
-GENERATION = 350_000
+GENERATION = 500_000
 
 _ENCODERS: dict[tuple[str, str], "CachedEncoder"] = {}
 
@@ -27,7 +27,24 @@ def encoder(kind: str, path: str) -> "CachedEncoder":
     return _ENCODERS[kind, path]
 
 
+class _Index(dict):
+    """Rows by piece, in order; a piece not yet known gets the next row and is noted as new."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        row = self[piece] = len(self)
+        self.new.append(piece)
+        return row
+
+
 class CachedEncoder:
+    bpe_kind: type[ArrayBpe]
+    #: What stands before every piece.
+    before = ""
+
     def __init__(self, path: str):
         import os
 
@@ -37,11 +54,9 @@ class CachedEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._index: dict[str, int] = {}
-        self._older: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
+        self.bpe = self.bpe_kind(path)
+        self._index = _Index()
+        self._last = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
         self._start = np.zeros(1, np.int64)
 
@@ -54,31 +69,41 @@ class CachedEncoder:
 
     def encode_pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and how many each has."""
-        raise NotImplementedError
+        plain = self.bpe.simple.fullmatch
+        odd = {p for p in pieces if not plain(p) or "<|" in p}
+        if not odd:
+            return self.bpe.encode(pieces)
+        flat, sizes = self.bpe.encode([p for p in pieces if p not in odd])
+        parts = iter(np.split(flat, np.cumsum(sizes)))
+        every = [np.array(self.whole(self.before + p), np.uint32) if p in odd else next(parts) for p in pieces]
+        return np.concatenate(every), np.fromiter(map(len, every), np.int64, len(every))
 
     def head(self, text: str) -> list[int]:
         """Ids of what stands before the pieces."""
         return []
 
-    def _known(self, pieces: list[str]) -> None:
-        new = [p for p in set(pieces) if p not in self._index]
-        if len(self._index) + len(new) > 2 * GENERATION:
-            keep = set(pieces)
-            if len(keep) < GENERATION:
-                last = len(self._index) - GENERATION
-                keep.update(p for p, i in self._index.items() if i >= last)
-            old = [p for p in keep if p in self._index]
-            rows = np.fromiter((self._index[p] for p in old), np.int64, len(old))
-            flat, start = gather(self._flat, self._start, rows)
-            self._flat, self._start = flat, start
-            self._index = {p: i for i, p in enumerate(old)}
+    def _forget(self) -> None:
+        """Keeps the pieces of the last group and the newest others, up to a generation."""
+        used = np.zeros(len(self._index), bool)
+        used[self._last] = True
+        used[max(0, len(used) - max(0, GENERATION - int(used.sum()))) :] = True
+        kept = [p for p, u in zip(self._index, used.tolist()) if u]
+        self._flat, self._start = gather(self._flat, self._start, np.flatnonzero(used))
+        self._index = _Index(zip(kept, range(len(kept))))
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """The cache's row of each piece; new pieces are encoded."""
+        if len(self._index) > 2 * GENERATION:
+            self._forget()
+        index = self._index
+        self._last = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        new, index.new = index.new, []
         if new:
             parts = [self.encode_pieces(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
             flat, sizes = (np.concatenate(x) for x in zip(*parts))
-            base = len(self._index)
-            self._index.update(zip(new, range(base, base + len(new))))
             self._flat = np.concatenate([self._flat, flat])
             self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(sizes)])
+        return self._last
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text, as arrays of unsigned 32-bit integers."""
@@ -95,8 +120,7 @@ class CachedEncoder:
 
     def _encode_group(self, group: list[tuple[str, list[str] | None]]) -> list[np.ndarray]:
         every = [p for _, pieces in group if pieces for p in pieces]
-        self._known(every)
-        rows = np.fromiter(map(self._index.__getitem__, every), np.int64, len(every))
+        rows = self._rows(every)
         flat, start = gather(self._flat, self._start, rows)
         out, at = [], 0
         for text, pieces in group:
@@ -115,9 +139,7 @@ class WordEncoder(CachedEncoder):
 
     _odd = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.bpe = WordBpe(path)
+    bpe_kind = WordBpe
 
     @classmethod
     def odd(cls, text: str) -> bool:
@@ -127,49 +149,18 @@ class WordEncoder(CachedEncoder):
     def pieces(self, text: str) -> list[str] | None:
         return None if self.odd(text) else text.split()
 
-    def encode_pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = self.bpe.simple.fullmatch
-        odd = {p for p in pieces if not plain(p) or "<|" in p}
-        if not odd:
-            return self.bpe.encode(pieces)
-        flat, sizes = self.bpe.encode([p for p in pieces if p not in odd])
-        parts = iter(np.split(flat, np.cumsum(sizes)))
-        every = [np.array(self.whole(p), np.uint32) if p in odd else next(parts) for p in pieces]
-        return np.concatenate(every), np.fromiter(map(len, every), np.int64, len(every))
-
 
 class ByteEncoder(CachedEncoder):
     """Byte-level BPE that joins a space to the word after it: the pieces are cut before single spaces."""
 
     _odd = re.compile(r" \s|<\|")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self._fast = _tiktoken_of(path)
+    bpe_kind = ByteBpe
+    before = " "
 
     def pieces(self, text: str) -> list[str] | None:
         return None if self._odd.search(text) else text.split(" ")[1:]
 
     def head(self, text: str) -> list[int]:
         first = text.partition(" ")[0]
-        return self._fast.encode_ordinary(first) if first else []
-
-    def encode_pieces(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        one = self._fast.encode_ordinary
-        found = [one(" " + p) for p in pieces]
-        return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-
-
-def _tiktoken_of(path: str):
-    """The same vocabulary for the tiktoken library, read from the tokenizer's own file."""
-    import json
-
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    special = {t["content"] for t in model["added_tokens"]}
-    byte_of = {c: b for b, c in byte_characters().items()}
-    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return self.whole(first) if first else []
