@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paceline.llm import fingerprints, katz, ngram_join, packing, quality_rules, sstable, suffix_dedup, url_filters, word_table
+from paceline.llm import fingerprints, html_crf, katz, ngram_join, packing, quality_rules, sstable, suffix_dedup, url_filters, word_table
 from paceline.llm.common import table, tokenizer_file
 from paceline.llm.oracles import ORACLES
 
@@ -44,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_sstable": op5_sstable,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_crf": op7_html_crf,
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_join": op10_ngram_join,
