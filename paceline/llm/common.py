@@ -69,22 +69,52 @@ def partitions(spark: SparkSession) -> int:
 BLOCK_CHARS = 6_000_000
 
 
+def _spark_hash(x: int) -> int:
+    """Spark's hash of an int (Murmur3, seed 42), which names the partition that a key goes to."""
+    mask = 0xFFFFFFFF
+    k = x * 0xCC9E2D51 & mask
+    k = (k << 15 | k >> 17) & mask
+    h = 42 ^ (k * 0x1B873593 & mask)
+    h = (h << 13 | h >> 19) & mask
+    h = (h * 5 + 0xE6546B64) & mask
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def even_keys(many: int, n: int) -> list[int]:
+    """many int keys of which hash partitioning puts the same number into each of n partitions."""
+    each, loads, out, x = -(-many // n), [0] * n, [], 0
+    while len(out) < many:
+        p = _spark_hash(x) % n
+        if loads[p] < each:
+            loads[p] += 1
+            out.append(x)
+        x += 1
+    return out
+
+
 def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: bool = False) -> DataFrame:
     """doc_id, text (never null) and the block that each row belongs to, dealt out by block; with carry also rest,
     a struct of all other columns.
 
-    Rows are dealt by doc_id and place, so copies of a text, or rows of one identifier, spread over blocks.
+    Rows are dealt by doc_id and place, so copies of a text, or rows of one identifier, spread over blocks. Every
+    shuffle partition gets as many blocks.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    many = max(2 * n, size // block_chars + 1)
+    many = n * max(1, -(-size // (n * block_chars)))
     more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("rest")]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
         *(more if carry and len(docs.columns) > 2 else []),
     )
     dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(int(many))).cast("int")
+    if many <= 20_000:
+        dealt = F.get(F.lit(even_keys(many, n)), dealt).cast("int")
     return rows.withColumn("block", dealt).repartition(n, "block")
 
 

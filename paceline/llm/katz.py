@@ -293,7 +293,7 @@ class Model:
 def train(docs: DataFrame, held_out: Callable[[int | None], bool]) -> tuple[DataFrame, DataFrame, Model, int, float]:
     """The dealt documents, the stored tables (level, part), the model, the parts and the share."""
     spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+    parts = partitions(spark)
     dealt = in_blocks(docs)
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     share = max(1000.0, size / 6 / parts / 10)

@@ -102,7 +102,7 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 def count_classes(dealt: DataFrame, n: int) -> tuple[DataFrame, int]:
     """(block, part, classes): for the sorted keys of a block in a part, 0 if in one set, else by powers of 2**.5."""
-    parts = 2 * partitions(dealt.sparkSession)
+    parts = partitions(dealt.sparkSession)
 
     def send(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         keys, count = block_keys(distinct_sets(list(f["text"]), n)[1])

@@ -362,7 +362,7 @@ def removed_bytes(block: Block, flags: pd.DataFrame, repeats: pd.DataFrame, part
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and rest (all other columns, as a struct)."""
-    parts = 2 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     dealt = in_blocks(docs, carry=True)
     plain = dealt.select("text", "block")
     twice = find_twice(plain, parts, length)

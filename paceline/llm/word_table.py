@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from paceline.llm.common import in_blocks, partitions
 from paceline.llm.tokens import WordEncoder, encoder
 
-#: Parts of the word table for each shuffle partition.
-PARTS = 4
+#: Bytes of text in a block, about: the more, the fewer words are sent more than once.
+BLOCK_BYTES = 16_000_000
 
 _PIECES: dict[str, list[str]] = {}
 
@@ -45,20 +45,25 @@ def words_by_part(texts: list[str], parts: int) -> dict[int, list[str]]:
 
 
 def pack_ids(flat: np.ndarray, sizes: np.ndarray) -> bytes:
-    head = np.array([len(sizes)], "<u4").tobytes()
-    return zlib.compress(head + sizes.astype("<u4").tobytes() + flat.astype("<u4").tobytes(), 1)
+    """Numbers of ids as bytes or more, and ids as byte planes."""
+    wide = 1 if not len(sizes) or sizes.max() < 255 else 4
+    head = np.array([len(sizes), wide], "<u4").tobytes()
+    planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zlib.compress(head + sizes.astype(f"<u{wide}").tobytes() + planes, 6)
 
 
 def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    values = np.frombuffer(zlib.decompress(data), "<u4")
-    n = int(values[0])
-    return values[1 + n :], values[1 : 1 + n].astype(np.int64)
+    raw = zlib.decompress(data)
+    n, wide = np.frombuffer(raw, "<u4", 2).tolist()
+    sizes = np.frombuffer(raw, f"<u{wide}", n, 8).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=8 + n * wide).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0], sizes
 
 
 def send_words(dealt: DataFrame, parts: int) -> DataFrame:
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         found = words_by_part(list(f["text"]), parts)
-        data = [zlib.compress("\n".join(ws).encode("utf-8", "surrogatepass"), 1) for ws in found.values()]
+        data = [zlib.compress("\n".join(ws).encode("utf-8", "surrogatepass"), 6) for ws in found.values()]
         return pd.DataFrame({"block": np.int32(key[0]), "part": list(found), "words": data})
 
     return dealt.groupBy("block").applyInPandas(run, "block int, part int, words binary")
@@ -96,8 +101,8 @@ def pieces_of(tokenizer: str) -> list[str]:
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, texts_out: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text; with texts_out the ids and texts too."""
-    parts = PARTS * partitions(docs.sparkSession)
-    dealt = in_blocks(docs)
+    parts = partitions(docs.sparkSession)
+    dealt = in_blocks(docs, BLOCK_BYTES)
     replies = answer(send_words(dealt, parts), tokenizer)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -105,14 +110,17 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, texts_out: bool = False)
         piece = pieces_of(tokenizer)
         texts = list(left["text"])
         found = words_by_part(texts, parts)
-        numbers: dict[str, str] = {}
-        decoded: dict[str, str] = {}
-        count: dict[str, int] = {}
+        row: dict[str, int] = {}
+        numbers: list[str] = []
+        decoded: list[str] = []
+        counts: list[int] = []
+        number = list(map(str, range(len(piece))))
 
         def keep(w: str, ids: list[int]) -> None:
-            numbers[w] = " ".join(map(str, ids))
-            decoded[w] = " ".join([piece[i] for i in ids])
-            count[w] = len(ids)
+            row[w] = len(counts)
+            numbers.append(" ".join([number[i] for i in ids]))
+            decoded.append(" ".join([piece[i] for i in ids]))
+            counts.append(len(ids))
 
         for part, data in zip(right["part"], right["ids"]):
             flat, sizes = unpack_ids(data)
@@ -124,7 +132,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, texts_out: bool = False)
                 keep(w, every[at : at + n])
                 at += n
         encode = encoder("word", tokenizer)
-        for w in [w for ws in found.values() for w in ws if w not in count]:
+        for w in [w for ws in found.values() for w in ws if w not in row]:
             keep(w, encode.whole(w))
         rows = []
         for doc_id, text in zip(left["doc_id"], texts):
@@ -132,9 +140,9 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, texts_out: bool = False)
                 ids = encode.whole(text)
                 n, a, b = len(ids), " ".join(map(str, ids)), " ".join(piece[i] for i in ids)
             else:
-                ws = text.split()
-                n = sum(map(count.__getitem__, ws))
-                a, b = " ".join(map(numbers.__getitem__, ws)), " ".join(map(decoded.__getitem__, ws))
+                at = list(map(row.__getitem__, text.split()))
+                n = sum(map(counts.__getitem__, at))
+                a, b = " ".join(map(numbers.__getitem__, at)), " ".join(map(decoded.__getitem__, at))
             digest = hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode("utf-8")).hexdigest()
             rows.append((doc_id, n, *digest, *((a, b) if texts_out else ())))
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
