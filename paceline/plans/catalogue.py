@@ -630,3 +630,13 @@ def trueskill_snapshots(spark, d):
 @query()
 def smoothed_ratings(spark, d):
     return ratings.smoothed(dated_entries(spark, d), ratings.TrueSkill)
+
+
+# Sources
+
+
+@query()
+def html_rows(spark, d):
+    from paceline.sources.tables import html_rows as rows_of
+
+    return rows_of(table(spark, d, "pages"), "page_id", "html")
