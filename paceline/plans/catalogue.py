@@ -614,6 +614,127 @@ def quality_audit(spark, d):
     return g.select("flag", F.col("y").cast("long").alias("line"), ((q[0] <= q[1]) & (q[1] <= q[2])).alias("monotone"), F.round(F.abs(q[1] - before) / before, 6).alias("jump"))
 
 
+# Diagnostics and trajectories
+
+
+@query("""SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END), ''), nullif(trim(o_orderpriority), ''), '') AS label,
+  coalesce(nullif(trim(o_orderstatus), ''), '') AS status FROM orders""")
+def alias_coalesce(spark, d):
+    from paceline.sources.tables import with_aliases
+
+    o = table(spark, d, "orders").withColumn("old", F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderstatus")))
+    named = with_aliases(o, {"key": ["o_orderkey"], "label": ["old", "missing", "o_orderpriority"], "status": ["state", "o_orderstatus"]})
+    return named.select(F.col("key").cast("long").alias("o_orderkey"), "label", "status")
+
+
+@query(f"""WITH {FACTS_SQL}, c AS (SELECT season, stage AS b, CASE WHEN n_rows >= 4 THEN 'college' WHEN n_rows >= 2 THEN 'high' ELSE 'middle' END AS a FROM facts)
+  SELECT season, count(*) AS n, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS n_agree, round(avg(CASE WHEN a = b THEN 100.0 ELSE 0.0 END), 2) AS agree_pct,
+  avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) >= 0.2 AND count(*) >= 100 AS ready FROM c GROUP BY 1""")
+def class_agreement(spark, d):
+    a = F.when(F.col("n_rows") >= 4, "college").when(F.col("n_rows") >= 2, "high").otherwise("middle")
+    same = (a == F.col("stage")).cast("long")
+    g = facts(spark, d).groupBy("season").agg(F.count("*").alias("n"), F.sum(same).alias("n_agree"), F.round(F.avg(same) * 100, 2).alias("agree_pct"), F.avg(same).alias("m"))
+    return g.withColumn("ready", (F.col("m") >= 0.2) & (F.col("n") >= 100)).drop("m")
+
+
+@query(f"""WITH {ROWS_SQL}, f AS (SELECT athlete, sex, code, value FROM (SELECT *, row_number() OVER (PARTITION BY athlete ORDER BY date, race) AS k FROM rows) WHERE k = 1),
+  s AS (SELECT sex, avg(value) AS m FROM f GROUP BY 1), c AS (SELECT sex, code, count(*) AS n, quantile_cont(value, 0.5) AS p50, stddev_samp(value) AS sd FROM f GROUP BY 1, 2)
+  SELECT c.sex, c.code, c.n, round(least(1.0, c.n / 50.0) * p50 + (1 - least(1.0, c.n / 50.0)) * s.m, 4) AS prior, round(sd, 4) AS sd FROM c JOIN s ON c.sex = s.sex""")
+def debut_priors(spark, d):
+    first = marts.best_by_priority(rows(spark, d), ["athlete"], F.col("date"), F.col("race"))
+    whole = first.groupBy("sex").agg(F.avg("value").alias("m"))
+    cells = first.groupBy("sex", "code").agg(F.count("*").alias("n"), quantile(F.col("value"), 0.5).alias("p50"), F.stddev_samp("value").alias("sd"))
+    w = F.least(F.lit(1.0), F.col("n") / 50.0)
+    return cells.join(whole, "sex").select("sex", "code", "n", F.round(w * F.col("p50") + (1 - w) * F.col("m"), 4).alias("prior"), F.round("sd", 4).alias("sd"))
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_quantity, 0.333333) AS a, quantile_cont(l_quantity, 0.666667) AS b FROM lineitem),
+  c AS (SELECT CASE WHEN l_quantity <= a THEN 'low' WHEN l_quantity <= b THEN 'middle' ELSE 'high' END AS sigma, CAST(least(floor(l_discount * 50), 4) AS BIGINT) AS mu, l_extendedprice AS v FROM lineitem, q)
+  SELECT sigma, mu, count(*) AS n, round(avg(v), 4) AS mean FROM c GROUP BY 1, 2""")
+def sigma_control_grid(spark, d):
+    lines = table(spark, d, "lineitem")
+    edges = lines.agg(quantile(F.col("l_quantity"), 0.333333).alias("a"), quantile(F.col("l_quantity"), 0.666667).alias("b"))
+    sigma = F.when(F.col("l_quantity") <= F.col("a"), "low").when(F.col("l_quantity") <= F.col("b"), "middle").otherwise("high")
+    mu = F.least(F.floor(F.col("l_discount") * 50), F.lit(4)).cast("long")
+    c = lines.crossJoin(F.broadcast(edges)).select(sigma.alias("sigma"), mu.alias("mu"), "l_extendedprice")  # edges: one row
+    return c.groupBy("sigma", "mu").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+
+
+SHARE_SQL = ROWS_SQL + """, a AS (SELECT athlete, sex, season - birth_year AS age, max(value) AS v FROM rows GROUP BY 1, 2, 3),
+sh AS (SELECT athlete, sex, age, rank() OVER (PARTITION BY age, sex ORDER BY v DESC) / count(*) OVER (PARTITION BY age, sex) AS share FROM a),
+best AS (SELECT athlete, min(share) FILTER (WHERE age <= 14) AS early, min(share) FILTER (WHERE age > 14) AS late FROM sh GROUP BY 1)"""
+
+
+def _best_shares(spark, d):
+    a = rows(spark, d).groupBy("athlete", "sex", (F.col("season") - F.col("birth_year")).alias("age")).agg(F.max("value").alias("v"))
+    w = W.partitionBy("age", "sex")
+    sh = a.withColumn("share", F.rank().over(w.orderBy(F.desc("v"))) / F.count("*").over(w))
+    part = lambda c: F.min(F.when(c, F.col("share")))
+    return sh.groupBy("athlete").agg(part(F.col("age") <= 14).alias("early"), part(F.col("age") > 14).alias("late"))
+
+
+@query(f"""WITH {SHARE_SQL} SELECT t AS top, count(*) FILTER (WHERE early <= t) AS n_early, count(*) FILTER (WHERE late <= t) AS n_late, count(*) FILTER (WHERE early <= t AND late <= t) AS n_both,
+  round(count(*) FILTER (WHERE early <= t AND late <= t) * 100.0 / nullif(count(*) FILTER (WHERE early <= t), 0), 2) AS late_given_early,
+  round(count(*) FILTER (WHERE early <= t AND late <= t) * 100.0 / nullif(count(*) FILTER (WHERE late <= t), 0), 2) AS early_given_late
+  FROM best, (VALUES (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) v(t) GROUP BY 1""")
+def bidirectional_rates(spark, d):
+    t = _best_shares(spark, d).select("*", F.explode(F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5))).alias("top"))
+    e, l = F.col("early") <= F.col("top"), F.col("late") <= F.col("top")
+    g = t.groupBy("top").agg(F.count_if(e).alias("n_early"), F.count_if(l).alias("n_late"), F.count_if(e & l).alias("n_both"))
+    pct = lambda n: F.when(F.col(n) > 0, F.round(F.col("n_both") * 100.0 / F.col(n), 2))
+    return g.select("*", pct("n_early").alias("late_given_early"), pct("n_late").alias("early_given_late"))
+
+
+@query(f"""WITH {SHARE_SQL} SELECT athlete, round(early, 6) AS early, round(late, 6) AS late FROM best WHERE late <= 0.1 AND (early IS NULL OR early > 0.5)""")
+def late_bloomers(spark, d):
+    b = _best_shares(spark, d).where("late <= 0.1 and (early is null or early > 0.5)")
+    return b.select("athlete", F.round("early", 6).alias("early"), F.round("late", 6).alias("late"))
+
+
+@query(f"""WITH {FACTS_SQL}, x AS (SELECT athlete, season, season - birth_year AS age FROM facts),
+  j AS (SELECT x.age, x.athlete, max(CASE WHEN n.athlete IS NOT NULL THEN 1 ELSE 0 END) AS stayed FROM x LEFT JOIN x n ON x.athlete = n.athlete AND n.age = x.age + 1 GROUP BY 1, 2)
+  SELECT age, count(*) AS n, CAST(sum(1 - stayed) AS BIGINT) AS n_left, round(avg(1 - stayed) * 100, 2) AS left_pct FROM j GROUP BY 1""")
+def attrition(spark, d):
+    x = facts(spark, d).select("athlete", (F.col("season") - F.col("birth_year")).alias("age")).distinct()
+    after = x.select("athlete", (F.col("age") - 1).alias("age"), F.lit(1).alias("stayed"))
+    g = x.join(after, ["athlete", "age"], "left").groupBy("age")
+    gone = F.col("stayed").isNull().cast("long")
+    return g.agg(F.count("*").alias("n"), F.sum(gone).alias("n_left"), F.round(F.avg(gone) * 100, 2).alias("left_pct"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_size AS size FROM part)
+  SELECT a.name, a.id AS a, b.id AS b, CASE WHEN a.brand = b.brand AND abs(a.size - b.size) <= 5 THEN 'auto' WHEN a.brand = b.brand OR abs(a.size - b.size) <= 5 THEN 'review' ELSE 'reject' END AS verdict
+  FROM p a JOIN p b ON a.name = b.name AND a.id < b.id""")
+def dup_candidates(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    a, b = p.alias("a"), p.alias("b")
+    same, near = F.col("a.brand") == F.col("b.brand"), F.abs(F.col("a.size") - F.col("b.size")) <= 5
+    verdict = F.when(same & near, "auto").when(same | near, "review").otherwise("reject")
+    met = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id")))
+    return met.select(F.col("a.name").alias("name"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), verdict.alias("verdict"))
+
+
+@query(f"""WITH {FACTS_SQL}, x AS (SELECT DISTINCT athlete, stage, season FROM facts)
+  SELECT a.stage AS stage_from, b.stage AS stage_to, count(DISTINCT a.athlete) AS n_bridges FROM x a JOIN x b ON a.athlete = b.athlete AND b.season = a.season + 1 AND a.stage <> b.stage GROUP BY 1, 2""")
+def bridge_cells(spark, d):
+    x = facts(spark, d).select("athlete", "stage", "season").distinct()
+    after = x.select("athlete", (F.col("season") - 1).alias("season"), F.col("stage").alias("stage_to"))
+    met = x.withColumnRenamed("stage", "stage_from").join(after, ["athlete", "season"]).where("stage_from <> stage_to")
+    return met.groupBy("stage_from", "stage_to").agg(F.countDistinct("athlete").alias("n_bridges"))
+
+
+@query(f"""WITH {ROWS_SQL}, q AS (SELECT sex, quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM rows GROUP BY 1)
+  SELECT race, round(CASE WHEN value <= q[1] THEN 8 WHEN value <= q[2] THEN 10 + 15 * (value - q[1]) / (q[2] - q[1]) WHEN value <= q[3] THEN 25 + 25 * (value - q[2]) / (q[3] - q[2])
+    WHEN value <= q[4] THEN 50 + 25 * (value - q[3]) / (q[4] - q[3]) WHEN value <= q[5] THEN 75 + 15 * (value - q[4]) / (q[5] - q[4]) ELSE 94 END, 4) AS percentile FROM rows JOIN q USING (sex)""")
+def piecewise_percentile(spark, d):
+    r = rows(spark, d)
+    q = r.groupBy("sex").agg(F.percentile("value", F.array(*map(F.lit, [0.1, 0.25, 0.5, 0.75, 0.9]))).alias("q"))
+    v, at = F.col("value"), lambda i: F.col("q")[i]
+    part = lambda i, low, wide: low + wide * (v - at(i)) / (at(i + 1) - at(i))
+    p = F.when(v <= at(0), 8.0).when(v <= at(1), part(0, 10, 15)).when(v <= at(2), part(1, 25, 25)).when(v <= at(3), part(2, 50, 25)).when(v <= at(4), part(3, 75, 15)).otherwise(94.0)
+    return r.join(F.broadcast(q), "sex").select("race", F.round(p, 4).alias("percentile"))
+
+
 # Ratings (state over time: tests hold them against published and closed-form examples)
 
 
