@@ -50,15 +50,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a stored() table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of stored() tables that no later step reads, and lets go of old shuffle files."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -100,8 +104,8 @@ def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: bool = Fal
     """doc_id, text (never null) and the block that each row belongs to, dealt out by block; with carry also rest,
     a struct of all other columns.
 
-    Rows are dealt by doc_id and place, so copies of a text, or rows of one identifier, spread over blocks. Every
-    shuffle partition gets as many blocks.
+    Rows are dealt by doc_id and text, which any run of the plan repeats, so copies of a text, or rows of one
+    identifier, spread over blocks. Every shuffle partition gets as many blocks.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -112,7 +116,7 @@ def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS, carry: bool = Fal
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
         *(more if carry and len(docs.columns) > 2 else []),
     )
-    dealt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(int(many))).cast("int")
+    dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(many))).cast("int")
     if many <= 20_000:
         dealt = F.get(F.lit(even_keys(many, n)), dealt).cast("int")
     return rows.withColumn("block", dealt).repartition(n, "block")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import in_blocks, partitions, stored
+from paceline.llm.common import forget, in_blocks, partitions, stored
 from paceline.llm.components import components
 from paceline.llm.grams import gram_hashes, in_groups, mix, word_hashes
 
@@ -130,8 +130,9 @@ def count_classes(dealt: DataFrame, n: int) -> tuple[DataFrame, int]:
 
 def ordered_sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """A row for each document: doc_id, text_hash, n_grams, node and, for the first of a node in a block that may have links,
-    rest (n-grams past the prefix), central, shared (prefix n-grams of more than one set, in global order) and
-    grams (the whole set)."""
+    rest (n-grams past the prefix), central, shared (the prefix n-grams of more than one set, in global order, by
+    the upper 32 bits of their hashes; n-grams of one set that agree in these count as part of rest) and grams (the
+    whole set)."""
     dealt = in_blocks(docs)
     classes, parts = count_classes(dealt, n)
     dealt = dealt.withColumn("text_hash", F.xxhash64("text"))
@@ -140,11 +141,9 @@ def ordered_sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
         nodes, found = distinct_sets(list(left["text"]), n)
         keys, _ = block_keys(found)
         at = _bounds(keys, parts)
-        rank = np.ones(len(keys), np.uint8)  # as if shared, should an answer not fit this block's rows
+        rank = np.zeros(len(keys), np.uint8)
         for p, data in zip(right["part"], right["classes"]):
-            got = np.frombuffer(zlib.decompress(data), np.uint8)
-            if len(got) == at[p + 1] - at[p]:
-                rank[at[p] : at[p + 1]] = got
+            rank[at[p] : at[p + 1]] = np.frombuffer(zlib.decompress(data), np.uint8)
         rows, seen = [], set()
         for doc_id, text_hash, node in zip(left["doc_id"], left["text_hash"], nodes):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
@@ -158,7 +157,10 @@ def ordered_sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
                 first = order[:size]
                 shared = grams[first[r[first] > 0]]
                 if len(shared):
-                    row[4:] = [len(grams) - size, float(r.mean()), shared.tobytes(), grams.tobytes()]
+                    brief = (shared >> np.uint64(32)).astype(np.uint32)
+                    brief = brief[np.sort(np.unique(brief, return_index=True)[1])]
+                    rest = len(grams) - size + len(shared) - len(brief)
+                    row[4:] = [rest, float(r.mean()), brief.tobytes(), grams.tobytes()]
             rows.append(row)
         out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_grams", "node", "rest", "central", "shared", "grams"])
         for c in ("doc_id", "node", "rest"):
@@ -175,41 +177,49 @@ def needed(x: int, y: int, threshold: int) -> int:
 
 
 class PrefixTree:
-    """Shared n-grams of sets, in global order, with the sets that end at each tree node.
+    """Sets of n-grams in global order as a tree whose edges are runs of n-grams without a branch.
 
-    A tree node is [children by n-gram, sets that end here, least and greatest set size below, greatest rest
-    below, greatest number of n-grams below].
+    A tree node is (run, children, sets that end here, least and greatest set size below, greatest rest below,
+    greatest number of n-grams from here down). items: (n-grams in order, set size, rest) of each set.
     """
 
-    def __init__(self, threshold: int):
-        self.threshold, self.root = threshold, [{}, [], 1 << 62, 0, 0, 0]
-
-    def add(self, item: int, size: int, rest: int, grams: tuple[int, ...]) -> None:
-        at, left = self.root, len(grams)
-        for g in (None, *grams):
-            if g is not None:
-                at = at[0].setdefault(g, [{}, [], 1 << 62, 0, 0, 0])
-                left -= 1
-            at[2], at[3], at[4], at[5] = min(at[2], size), max(at[3], size), max(at[4], rest), max(at[5], left)
-        at[1].append((item, size, rest))
+    def __init__(self, items: list[tuple[tuple[int, ...], int, int]], threshold: int):
+        self.items, self.threshold = items, threshold
+        self.root = self._build(sorted(range(len(items)), key=lambda i: items[i][0]), 0) if items else None
+
+    def _build(self, order: list[int], at: int) -> tuple:
+        items = self.items
+        one, two = items[order[0]][0], items[order[-1]][0]
+        end = at
+        while end < len(one) and end < len(two) and one[end] == two[end]:
+            end += 1
+        ends = [i for i in order if len(items[i][0]) == end]
+        children, start = [], len(ends)  # what ends here sorts first
+        for k in range(start + 1, len(order) + 1):
+            if k == len(order) or items[order[k]][0][end] != items[order[start]][0][end]:
+                children.append(self._build(order[start:k], end))
+                start = k
+        sizes = [items[i][1] for i in order]
+        deep = max(len(items[i][0]) for i in order) - at
+        return frozenset(one[at:end]), children, ends, min(sizes), max(sizes), max(items[i][2] for i in order), deep
 
     def search(self, size: int, rest: int, grams: frozenset[int]) -> Iterator[int]:
-        """Sets whose overlap with the given one can reach the threshold."""
-        stack = [(self.root, 0)]
+        """Sets whose overlap with the given one, with what remains of both, can reach the threshold."""
         t = self.threshold
+        stack = [(self.root, 0)] if self.root else []
         while stack:
-            (children, ends, low, high, most_rest, deep), overlap = stack.pop()
+            (run, children, ends, low, high, most_rest, deep), overlap = stack.pop()
             if 100 * high < t * size or 100 * size < t * low:
                 continue
-            bound = overlap + min(deep, len(grams) - overlap) + max(rest, most_rest)
-            if bound < needed(size, max(low, -(-t * size // 100)), t):
+            if overlap + deep + max(rest, most_rest) < needed(size, max(low, -(-t * size // 100)), t):
                 continue
-            for item, other, other_rest in ends:
+            overlap += len(run & grams)
+            for i in ends:
+                _, other, other_rest = self.items[i]
                 if 100 * min(size, other) >= t * max(size, other):
                     if overlap + max(rest, other_rest) >= needed(size, other, t):
-                        yield item
-            for g, child in children.items():
-                stack.append((child, overlap + (g in grams)))
+                        yield i
+            stack += [(c, overlap) for c in children]
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -239,7 +249,7 @@ def may_link(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         for f in frames:
             keep = []
             for x, y, m, k, r, s in zip(f["a_shared"], f["b_shared"], f["a_n_grams"], f["b_n_grams"], f["a_rest"], f["b_rest"]):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True))
+                common = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), True))
                 keep.append(common + max(r, s) >= needed(int(m), int(k), threshold))
             yield f.loc[keep, ["a", "b"]]
 
@@ -261,35 +271,60 @@ def walk_trees(rows: DataFrame, sets: DataFrame, hot: DataFrame, threshold: int)
         "gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component"
     )
     full = met.join(sets.select("node", "n_grams", "rest", "shared"), "node")
+    keys = ["gram", "low", "high"]
+    sorted_ = full.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    columns = ["gram", "low", "high", "node", "component", "own", "n_grams", "rest", "shared"]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        if len(f) < 2 or f["component"].nunique() < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        one_block = f["low"].iloc[0] == f["high"].iloc[0]
-        tree = PrefixTree(threshold)
-        items = []
-        for node, component, own, size, rest, shared in zip(f["node"], f["component"], f["own"], f["n_grams"], f["rest"], f["shared"]):
-            items.append((int(node), int(component), int(own), int(size), int(rest), tuple(np.frombuffer(shared, np.uint64).tolist())))
-        for i, (_, _, _, size, rest, grams) in enumerate(items):
-            tree.add(i, size, rest, grams)
-        pairs = []
-        for i, (node, component, own, size, rest, grams) in enumerate(items):
-            for j in tree.search(size, rest, frozenset(grams)):
-                if items[j][0] > node and items[j][1] != component and (one_block or items[j][2] != own):
-                    pairs.append((node, items[j][0]))
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    return full.groupBy("gram", "low", "high").applyInPandas(run, "a long, b long").distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for f in frames:
+            pairs: list[tuple[int, int]] = []
+            for row in zip(*[f[c].tolist() for c in columns]):
+                if row[:3] != key:
+                    pairs += pairs_of(held, key, threshold)
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(pairs_of(held, key, threshold), columns=["a", "b"], dtype="int64")
+
+    return sorted_.select(*columns).mapInPandas(run, "a long, b long").distinct()
+
+
+def pairs_of(held: list[tuple], key: tuple | None, threshold: int) -> list[tuple[int, int]]:
+    """Candidate pairs of different components among the sets of one n-gram: (node, component, own block, size, rest,
+    shared n-grams).
+
+    A pair is found only at the first n-gram that the set of the lesser node shares with the other, so what stands
+    before the n-gram can't be shared and the tree holds only what follows."""
+    if len(held) < 2 or len({x[1] for x in held}) < 2:
+        return []
+    gram, one_block = key[0], key[1] == key[2]
+    lists = [tuple(np.frombuffer(x[5], np.uint32).tolist()) for x in held]
+    cut = [g.index(gram) for g in lists]
+    heads = [frozenset(g[:k]) for g, k in zip(lists, cut)]
+    if all(cut) and frozenset.intersection(*heads):
+        return []
+    tree = PrefixTree([(g[k:], x[3], x[4]) for g, k, x in zip(lists, cut, held)], threshold)
+    out = []
+    for (node, component, own, size, rest, _), g in zip(held, lists):
+        grams = frozenset(g)
+        for j in tree.search(size, rest, grams):
+            other = held[j]
+            if other[0] < node and other[1] != component and (one_block or other[2] != own) and heads[j].isdisjoint(grams):
+                out.append((other[0], node))
+    return out
 
 
 def linked(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Every document (doc_id, text_hash, n_shingles, node, group: the smallest node reachable, null without
     n-grams), and the confirmed links (a, b)."""
-    every = stored(ordered_sets(docs, n, threshold), "sets")
-    held = every.where("shared is not null").groupBy("node").agg(
+    whole = stored(ordered_sets(docs, n, threshold), "sets")
+    every = stored(whole.select("doc_id", "text_hash", "n_grams", "node"), "documents")
+    held = whole.where("shared is not null").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("n_grams", "rest", "central", "shared", "grams")]
     )
     sets = stored(held, "nodes")
+    forget(whole)
     rows = stored(_shared_rows(sets), "shared")
     size = rows.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.struct("central", "node")).alias("top"))
     met = stored(size.where("n > 1"), "met")
@@ -314,7 +349,9 @@ def linked(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFram
     label = components(links).select("node", F.col("component").alias("group"))
     keyed = every.select("doc_id", "text_hash", F.col("n_grams").alias("n_shingles"), "node")
     grouped = keyed.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    return stored(grouped, "grouped"), links
+    grouped = stored(grouped, "grouped")
+    forget(every, sets, pairs)
+    return grouped, links
 
 
 def join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
@@ -336,7 +373,7 @@ def _shared_rows(sets: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            lists = [np.frombuffer(x, np.int64) for x in f["shared"]]
+            lists = [np.frombuffer(x, np.uint32).astype(np.int64) for x in f["shared"]]
             n = [len(x) for x in lists]
             if n:
                 yield pd.DataFrame({"gram": np.concatenate(lists), "node": np.repeat(f["node"].to_numpy(), n), "central": np.repeat(f["central"].to_numpy(), n)})

@@ -56,9 +56,7 @@ def test_prefix_tree_loses_nothing():
     r = np.random.default_rng(0)
     base = r.choice(2000, 200, replace=False)
     sets = [np.unique(np.concatenate([r.choice(base, 100, replace=False), r.choice(2000, 5)])) for _ in range(60)]
-    tree = ngram_join.PrefixTree(60)
-    for i, s in enumerate(sets):
-        tree.add(i, len(s), 0, tuple(s.tolist()))
+    tree = ngram_join.PrefixTree([(tuple(s.tolist()), len(s), 0) for s in sets], 60)
     for i, s in enumerate(sets):
         linked = {j for j, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 60 * len(np.union1d(s, o))}
         assert linked <= set(tree.search(len(s), 0, frozenset(s.tolist())))
