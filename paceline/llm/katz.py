@@ -78,6 +78,17 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
+def pack_seconds(seconds: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+    """Second words as their sorted dictionary and indexes into it, and the first row of each."""
+    found, at, index = np.unique(seconds, return_index=True, return_inverse=True)
+    return planes(np.diff(found, prepend=np.uint64(0)), 5), planes(index, 4), at
+
+
+def unpack_seconds(found: bytes, index: bytes) -> tuple[np.ndarray, np.ndarray]:
+    index = unplanes(index, 4).astype(np.int64)
+    return np.cumsum(unplanes(found, 5), dtype=np.uint64)[index], index
+
+
 def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part's range of sorted 64-bit keys begins."""
     edges = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
@@ -177,7 +188,7 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
     """level 2: (block, part, data: counts of the block's bigrams, mass: 13 numbers for each of its histories)."""
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["block", "part", "keys", "sizes", "seconds", "counts", "uni"]
+        names = ["block", "part", "keys", "sizes", "found", "seconds", "counts", "uni"]
         if not len(left):
             return pd.DataFrame([], columns=names)
         c = Counts(list(left["doc_id"]), list(left["text"]), held_out)
@@ -189,13 +200,17 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
             if b > a:
                 x, y = row[a], row[b]
                 second = c.pairs[x:y] & np.uint64((1 << int(SECOND_BITS)) - 1)
-                rows.append((left["block"].iloc[0], p, planes(np.diff(c.history[a:b], prepend=np.uint64(0)), 8), planes(c.per_history[a:b], 8), planes(second, 5), planes(c.pair_count[x:y], 8), planes(c.second_count[x:y], 8)))
+                found, index, first = pack_seconds(second)
+                rows.append((left["block"].iloc[0], p, planes(np.diff(c.history[a:b], prepend=np.uint64(0)), 8), planes(c.per_history[a:b], 8), found, index, planes(c.pair_count[x:y], 8), planes(c.second_count[x:y][first], 8)))
         return pd.DataFrame(rows, columns=names)
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(unplanes(x, 8), dtype=np.uint64) for x in f["keys"]]
         sizes = [unplanes(x, 8).astype(np.int64) for x in f["sizes"]]
-        second, count, uni = (np.concatenate([unplanes(x, w) for x in f[n]]) for n, w in (("seconds", 5), ("counts", 8), ("uni", 8)))
+        read = [unpack_seconds(x, y) for x, y in zip(f["found"], f["seconds"])]
+        second = np.concatenate([x for x, _ in read])
+        uni = np.concatenate([unplanes(x, 8)[y] for x, (_, y) in zip(f["uni"], read)])
+        count = np.concatenate([unplanes(x, 8) for x in f["counts"]])
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         pair = np.repeat(place, np.concatenate(sizes)).astype(np.uint64) << SECOND_BITS | second
         types, at, which = np.unique(pair, return_index=True, return_inverse=True)
@@ -219,12 +234,12 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
         table = b"".join(
             len(x).to_bytes(8, "little") + x
             for x in (planes(np.diff(model[0], prepend=np.uint64(0)), 8), planes(model[1], 8),
-                      planes(types[seen] & np.uint64((1 << int(SECOND_BITS)) - 1), 5))
+                      *pack_seconds(types[seen] & np.uint64((1 << int(SECOND_BITS)) - 1))[:2])
         )
         return _with_stats(out, total, np.int32(key[0]), table, planes(total[seen], 8))
 
     sent = dealt.groupBy("block").cogroup(words.where("block >= 0").groupBy("block")).applyInPandas(
-        send, "block int, part int, keys binary, sizes binary, seconds binary, counts binary, uni binary"
+        send, "block int, part int, keys binary, sizes binary, found binary, seconds binary, counts binary, uni binary"
     )
     return sent.groupBy("part").applyInPandas(answer, ANSWER)
 

@@ -330,22 +330,15 @@ def linked(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFram
     met = stored(size.where("n > 1"), "met")
     rows = stored(rows.join(met.select("gram"), "gram", "left_semi").select("gram", "node"), "shared")
     hot = stored(met.where(f"n > {HOT}"), "hot")
-    links: DataFrame | None = None
-    label = None
-    if not hot.isEmpty():
-        star = rows.join(hot.select("gram", F.col("top.node").alias("pivot")), "gram").where("node <> pivot")
-        pairs = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        links = stored(confirm(may_link(pairs, sets, threshold), sets, threshold), "links")
-        label = components(links)
-    found = rows.withColumn("component", F.col("node"))
-    if label is not None:
-        found = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = stored(found.select("gram", "node", "component"), "shared")
-        apart = found.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        found = found.join(stored(apart.select("gram"), "apart"), "gram", "left_semi")
+    star = rows.join(hot.select("gram", F.col("top.node").alias("pivot")), "gram").where("node <> pivot")
+    near = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = stored(confirm(may_link(near, sets, threshold), sets, threshold), "links")
+    found = rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = stored(found.select("gram", "node", "component"), "shared")
+    apart = found.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    found = found.join(stored(apart.select("gram"), "apart"), "gram", "left_semi")
     pairs = stored(walk_trees(found, sets, hot, threshold), "pairs")
-    more = confirm(pairs, sets, threshold)
-    links = stored(more if links is None else links.union(more), "links")
+    links = stored(links.union(confirm(pairs, sets, threshold)), "links")
     label = components(links).select("node", F.col("component").alias("group"))
     keyed = every.select("doc_id", "text_hash", F.col("n_grams").alias("n_shingles"), "node")
     grouped = keyed.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))

@@ -171,7 +171,7 @@ def repeated_starts(hashes: np.ndarray, columns: np.ndarray, starts: np.ndarray,
     return flags
 
 
-def _batches(members: np.ndarray, most: int = 60_000) -> Iterator[tuple[int, int]]:
+def _batches(members: np.ndarray, most: int = 10_000) -> Iterator[tuple[int, int]]:
     start = total = 0
     for i, m in enumerate(members.tolist()):
         if total and total + m > most:
@@ -191,12 +191,11 @@ def _collection(rows, group, columns, starts, data, flags, flag_at, length) -> N
     first = columns[rows]
     last = first + sizes - 1
     left, right = int(first.min()), int(last.max())
-    # the columns, from the right; 0 stands for no symbol
-    table = np.zeros((right - left + 1, len(rows)), np.uint16)
-    flat = np.frombuffer(b"".join([data[i] for i in rows.tolist()]), np.uint8)
-    string = np.repeat(np.arange(len(rows)), sizes)
-    column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-    table[right - column, string] = flat.astype(np.uint16) + 1
+    # the columns, from the right, each a run of one symbol of every string
+    width = right - left + 1
+    padded = [b"\0" * a + data[i] + b"\0" * b for i, a, b in zip(rows.tolist(), (first - left).tolist(), (right - last).tolist())]
+    table = np.ascontiguousarray(np.frombuffer(b"".join(padded), np.uint8).reshape(len(rows), width).T[::-1])
+    del padded
     order = np.arange(len(rows))  # strings in the order of their suffixes, by collection
     common = np.zeros(len(rows), np.int32)  # common prefix of the suffix at each place with the one before it
     bound = np.concatenate([[True], group[1:] != group[:-1]])  # places where a collection begins
@@ -205,7 +204,9 @@ def _collection(rows, group, columns, starts, data, flags, flag_at, length) -> N
     starts_here, at_flag = starts[rows], flag_at[rows]
     sentinel = np.int32(0)
     for k in range(len(table)):
-        symbol = table[k][order]
+        at_column = right - k
+        inside = (first <= at_column) & (at_column <= last)
+        symbol = np.where(inside, table[k].astype(np.int16) + 1, 0)[order]  # 0 stands for no symbol
         mixed = np.zeros(len(begin), bool)
         np.logical_or.at(mixed, of[1:], (symbol[1:] != symbol[:-1]) & ~bound[1:])
         there = symbol > 0
@@ -220,8 +221,7 @@ def _collection(rows, group, columns, starts, data, flags, flag_at, length) -> N
             pair = np.flatnonzero(agree)
             fresh[pair] = 1 + _range_min(prefix, new[pair - 1] + 1, new[pair])
             order[at], common[at] = old[new], fresh
-        column_now = right - k
-        start_no = column_now - first[order]
+        start_no = at_column - first[order]
         live = (start_no >= 0) & (start_no < starts_here[order])
         if live.any():
             longest = np.maximum(common, np.append(common[1:], 0))
@@ -262,14 +262,19 @@ def _unpack_strings(packed: bytes, length: int) -> tuple[np.ndarray, np.ndarray,
     return (*out, [data[e - z : e] for e, z in zip(ends.tolist(), sizes.tolist())])
 
 
+def arrow_rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
+
+
 def find_twice(dealt: DataFrame, parts: int, length: int) -> DataFrame:
     """(block, part, flags): for the sorted anchor keys of a block in a part, whether they came twice or more."""
 
-    def send(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        keys, count = Block(list(f["text"]), length).keys()
+    def send(key: tuple, f: pa.Table) -> pa.Table:
+        keys, count = Block(f["text"].to_pylist(), length).keys()
         at = part_bounds(keys, parts)
-        rows = [(key[0], p, pack_keys(keys[a:b]), np.packbits(count[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-        return pd.DataFrame(rows, columns=["block", "part", "keys", "many"])
+        rows = [(key[0].as_py(), p, pack_keys(keys[a:b]), np.packbits(count[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+        return arrow_rows(rows, {"block": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "many": pa.binary()})
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         lists = [unpack_keys(x) for x in f["keys"]]
@@ -280,7 +285,7 @@ def find_twice(dealt: DataFrame, parts: int, length: int) -> DataFrame:
         data = [np.packbits(x).tobytes() for x in np.split((total > 1)[place], ends[:-1])]
         return pd.DataFrame({"block": f["block"], "part": f["part"], "flags": data})
 
-    sent = dealt.groupBy("block").applyInPandas(send, "block int, part int, keys binary, many binary")
+    sent = dealt.groupBy("block").applyInArrow(send, "block int, part int, keys binary, many binary")
     return sent.groupBy("part").applyInPandas(answer, "block int, part int, flags binary")
 
 
@@ -301,14 +306,12 @@ def _by_part(different: list[tuple], parts: int) -> np.ndarray:
 def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) -> DataFrame:
     """(block, part, flags): for the sorted surroundings of a block in a part, which of their starts are repeated."""
 
-    def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"block": [], "part": [], "strings": []})
-        block = Block(list(left["text"]), length)
-        different, count, _ = block.strings(chosen_runs(block, right, parts))
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(left["text"].to_pylist(), length)
+        different, count, _ = block.strings(chosen_runs(block, right.to_pandas(), parts))
         at = _by_part(different, parts)
-        rows = [(left["block"].iloc[0], p, _pack_strings(different[a:b], count[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
-        return pd.DataFrame(rows, columns=["block", "part", "strings"])
+        rows = [(left["block"][0].as_py(), p, _pack_strings(different[a:b], count[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+        return arrow_rows(rows, {"block": pa.int32(), "part": pa.int32(), "strings": pa.binary()})
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         lists = [_unpack_strings(x, length) for x in f["strings"]]
@@ -335,7 +338,9 @@ def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) ->
             out.append(zlib.compress(np.packbits(flags[at]).tobytes(), 1))
         return pd.DataFrame({"block": f["block"], "part": f["part"], "repeats": out})
 
-    sent = dealt.groupBy("block").cogroup(twice.groupBy("block")).applyInPandas(send, "block int, part int, strings binary")
+    sent = dealt.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(
+        send, "block int, part int, strings binary"
+    )
     return sent.groupBy("part").applyInPandas(answer, "block int, part int, repeats binary")
 
 
@@ -364,9 +369,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and rest (all other columns, as a struct)."""
     parts = partitions(docs.sparkSession)
     dealt = in_blocks(docs, carry=True)
-    plain = dealt.select("text", "block")
-    twice = find_twice(plain, parts, length)
-    repeats = find_repeats(plain, twice, parts, length)
+    twice = find_twice(dealt, parts, length)
+    repeats = find_repeats(dealt, twice, parts, length)
     told = twice.select("block", "part", "flags", F.lit(None).cast("binary").alias("repeats")).unionByName(
         repeats.select("block", "part", F.lit(None).cast("binary").alias("flags"), "repeats")
     )
