@@ -44,7 +44,7 @@ LENGTH = 200
 GRAM = 32
 KEY_BYTES = 7
 #: Bytes whose anchors are found at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _tables: list[np.ndarray] = []
 
@@ -171,7 +171,7 @@ def repeated_starts(hashes: np.ndarray, columns: np.ndarray, starts: np.ndarray,
     return flags
 
 
-def _batches(members: np.ndarray, most: int = 10_000) -> Iterator[tuple[int, int]]:
+def _batches(members: np.ndarray, most: int = 5_000) -> Iterator[tuple[int, int]]:
     start = total = 0
     for i, m in enumerate(members.tolist()):
         if total and total + m > most:
@@ -358,11 +358,13 @@ def removed_bytes(block: Block, flags: pd.DataFrame, repeats: pd.DataFrame, part
     n = block.count[chosen]
     source = np.arange(int(n.sum())) + np.repeat(begin[row] - (np.cumsum(n) - n), n)
     start = np.arange(int(n.sum())) + np.repeat(block.first[chosen] - (np.cumsum(n) - n), n)
-    start = start[hit[source]]
-    change = np.zeros(len(block.raw) + 1, np.int32)
-    change[: len(block.raw)] += np.bincount(start, minlength=len(block.raw)).astype(np.int32)[: len(block.raw)]
-    ends = np.bincount(start + block.length, minlength=len(block.raw) + 1)
-    return np.cumsum(change - ends.astype(np.int32))[:-1] > 0
+    start = start[hit[source]]  # ascending
+    change = np.zeros(len(block.raw) + 1, np.int8)
+    if len(start):
+        apart = np.flatnonzero(start[1:] > start[:-1] + block.length)
+        change[np.concatenate([start[:1], start[1:][apart]])] += 1
+        change[np.concatenate([start[:-1][apart], start[-1:]]) + block.length] -= 1
+    return np.cumsum(change[:-1], dtype=np.int8) > 0
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
