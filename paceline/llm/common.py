@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -55,6 +57,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now; else they stay until the driver's next collection
+    of garbage. Removal runs beside the program, hence the short waits."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes the files of stored() tables that no later step reads, and lets go of old shuffle files."""
     for df in tables:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import in_blocks, partitions, scratch_path
+from paceline.llm.common import in_blocks, partitions, release, scratch_path
 from paceline.llm.grams import in_groups, mix, word_hashes
 
 K = 5
@@ -89,6 +89,19 @@ def unpack_seconds(found: bytes, index: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unplanes(found, 5), dtype=np.uint64)[index], index
 
 
+def pack_mass(mass: np.ndarray, ask: np.ndarray) -> bytes:
+    """The numbers of the histories asked for, and for all which counts up to K their seconds have."""
+    numbers = planes(mass[:, ask].ravel(), 8)
+    return len(numbers).to_bytes(4, "little") + numbers + np.packbits(mass[:K] > 0).tobytes()
+
+
+def unpack_mass(data: bytes, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    end = 4 + int.from_bytes(data[:4], "little")
+    mass = np.zeros((13, len(ask)), np.int64)
+    mass[:, ask] = unplanes(data[4:end], 8).astype(np.int64).reshape(13, -1)
+    return mass, np.unpackbits(np.frombuffer(data, np.uint8, offset=end), count=K * len(ask)).reshape(K, len(ask))
+
+
 def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part's range of sorted 64-bit keys begins."""
     edges = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
@@ -130,6 +143,11 @@ class Counts:
         self.pairs, at, self.pair = np.unique(pair, return_index=True, return_inverse=True)
         self.pair_count = np.bincount(self.pair, weights=self.trained, minlength=len(self.pairs)).astype(np.int64)
         self.second_count = counts[self.word[at]]
+        # only what stands before a pair that this block's training texts don't have can need to back off
+        open_word = np.zeros(len(self.words), bool)
+        open_word[first[self.pair_count[self.pair] == 0]] = True
+        self.ask = np.zeros(len(self.history), bool)
+        self.ask[self.asked_at[open_word[self.asked_of]]] = True
         self.per_history = np.bincount((self.pairs >> SECOND_BITS).astype(np.int64), minlength=len(self.history))
         self.first = first
 
@@ -188,7 +206,7 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
     """level 2: (block, part, data: counts of the block's bigrams, mass: 13 numbers for each of its histories)."""
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["block", "part", "keys", "sizes", "found", "seconds", "counts", "uni"]
+        names = ["block", "part", "keys", "sizes", "found", "seconds", "counts", "uni", "ask"]
         if not len(left):
             return pd.DataFrame([], columns=names)
         c = Counts(list(left["doc_id"]), list(left["text"]), held_out)
@@ -201,7 +219,7 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
                 x, y = row[a], row[b]
                 second = c.pairs[x:y] & np.uint64((1 << int(SECOND_BITS)) - 1)
                 found, index, first = pack_seconds(second)
-                rows.append((left["block"].iloc[0], p, planes(np.diff(c.history[a:b], prepend=np.uint64(0)), 8), planes(c.per_history[a:b], 8), found, index, planes(c.pair_count[x:y], 8), planes(c.second_count[x:y][first], 8)))
+                rows.append((left["block"].iloc[0], p, planes(np.diff(c.history[a:b], prepend=np.uint64(0)), 8), planes(c.per_history[a:b], 8), found, index, planes(c.pair_count[x:y], 8), planes(c.second_count[x:y][first], 8), np.packbits(c.ask[a:b]).tobytes()))
         return pd.DataFrame(rows, columns=names)
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +246,8 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
         ends = np.cumsum([len(x) for x in keys])
         rows = np.cumsum([int(x.sum()) for x in sizes])
         data = [planes(x, 8) for x in np.split(total[which], rows[:-1])]
-        masses = [planes(mass[:, x].ravel(), 8) for x in np.split(place, ends[:-1])]
+        asks = [np.unpackbits(np.frombuffer(a, np.uint8), count=len(k)).astype(bool) for a, k in zip(f["ask"], keys)]
+        masses = [pack_mass(mass[:, x], a) for x, a in zip(np.split(place, ends[:-1]), asks)]
         out = pd.DataFrame({"level": 2, "block": f["block"], "part": np.int32(key[0]), "data": data, "mass": masses})
         model = np.unique(every[of[seen]], return_counts=True)
         table = b"".join(
@@ -239,7 +258,7 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
         return _with_stats(out, total, np.int32(key[0]), table, planes(total[seen], 8))
 
     sent = dealt.groupBy("block").cogroup(words.where("block >= 0").groupBy("block")).applyInPandas(
-        send, "block int, part int, keys binary, sizes binary, found binary, seconds binary, counts binary, uni binary"
+        send, "block int, part int, keys binary, sizes binary, found binary, seconds binary, counts binary, uni binary, ask binary"
     )
     return sent.groupBy("part").applyInPandas(answer, ANSWER)
 
@@ -299,6 +318,11 @@ class Model:
             weight = np.where(total > 0, left / (1 - lower), 1.0)
         return np.where(total > 0, total / np.where(scale > 0, scale, 1.0), 1.0), weight
 
+    def divisor(self, total: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """What backoff() gives as totals, from c(h) and which counts up to K the words after h have."""
+        bare = ~(present.astype(bool) & (self.d2 < 1)[:, None]).any(axis=0)
+        return np.where(total > 0, total + bare, 1)
+
     def pair(self, count: np.ndarray, total: np.ndarray) -> np.ndarray:
         """P of seen bigrams, by their count and their history's total as backoff() gives it."""
         factor = np.where(count <= K, self.d2[np.clip(count, 1, K) - 1], 1.0)
@@ -316,7 +340,8 @@ def train(docs: DataFrame, held_out: Callable[[int | None], bool]) -> tuple[Data
     tables = words.unionByName(bigram_answers(dealt, words, parts, share, held_out))
     path = scratch_path(spark, "katz")
     tables.write.partitionBy("level").option("compression", "none").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of the step just written
+    del words, tables
+    release(spark)
     stored = spark.read.schema(ANSWER).parquet(path)
     stats = stored.where("block < 0").groupBy("level").agg(
         F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v"),
@@ -338,16 +363,17 @@ def score(docs: DataFrame, held_out: Callable[[int | None], bool]) -> DataFrame:
         c.bigrams(counts, share)
         at, row = ranges(c.history, parts), np.concatenate([[0], np.cumsum(c.per_history)])
         pair_count = np.zeros(len(c.pairs), np.int64)
-        mass = np.zeros((13, len(c.history)), np.int64)
+        mass, present = np.zeros((13, len(c.history)), np.int64), np.zeros((K, len(c.history)), np.uint8)
         two = right[right["level"] == 2]
         for p, data, m in zip(two["part"], two["data"], two["mass"]):
             a, b = at[p], at[p + 1]
             pair_count[row[a] : row[b]] = unplanes(data, 8)
-            mass[:, a:b] = unplanes(m, 8).astype(np.int64).reshape(13, b - a)
-        whole = np.zeros((13, len(c.words)), np.int64)
-        for i in range(13):
-            whole[i] = np.bincount(c.asked_of, weights=mass[i][c.asked_at], minlength=len(c.words))
-        total, weight = model.backoff(whole)
+            mass[:, a:b], present[:, a:b] = unpack_mass(m, c.ask[a:b])
+        add_up = lambda x: np.bincount(c.asked_of, weights=x[c.asked_at], minlength=len(c.words))
+        whole = np.stack([add_up(x) for x in mass]).astype(np.int64)
+        _, weight = model.backoff(whole)
+        # every token is followed by one, an end by the next text's first, so a word's count is its count as a history
+        total = model.divisor(counts, np.stack([add_up(x) for x in present]) > 0)
         found, lower = pair_count[c.pair], model.word(counts)[c.word]
         p = np.where(found > 0, model.pair(found, total[c.first]), weight[c.first] * lower)
         base = np.log10((counts + 1) / (model.n + model.v + 1))[c.word]
