@@ -43,6 +43,8 @@ from paceline.llm.grams import _VALUE, mix
 LENGTH = 200
 GRAM = 32
 KEY_BYTES = 7
+#: Parts of the key space for each shuffle partition.
+PARTS = 4
 #: Bytes whose anchors are found at once.
 SLICE = 1 << 18
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -314,11 +316,11 @@ def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) ->
         return arrow_rows(rows, {"block": pa.int32(), "part": pa.int32(), "strings": pa.binary()})
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        lists = [_unpack_strings(x, length) for x in f["strings"]]
         row: dict[tuple, int] = {}
         times: list[int] = []
         place = []
-        for h, c, s, m, data in lists:
+        for packed in f["strings"]:
+            h, c, s, m, data = _unpack_strings(packed, length)
             here = []
             for r in zip(h.tolist(), c.tolist(), s.tolist(), data):
                 i = row.setdefault(r, len(row))
@@ -328,6 +330,7 @@ def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) ->
             for i, x in zip(here, m.tolist()):
                 times[i] += x
             place.append(np.array(here, np.int64))
+            del data
         hashes, columns, starts = (np.array([r[i] for r in row], t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
         flags = repeated_starts(hashes, columns, starts, [r[3] for r in row], np.array(times) > 1, length)
         begin = np.cumsum(starts) - starts
@@ -369,7 +372,7 @@ def removed_bytes(block: Block, flags: pd.DataFrame, repeats: pd.DataFrame, part
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and rest (all other columns, as a struct)."""
-    parts = partitions(docs.sparkSession)
+    parts = PARTS * partitions(docs.sparkSession)
     dealt = in_blocks(docs, carry=True)
     twice = find_twice(dealt, parts, length)
     repeats = find_repeats(dealt, twice, parts, length)
