@@ -15,7 +15,9 @@ whole word sequence). Equal sets are one node. Two nodes link if 100 * |A and B|
 
 An n-gram of more than ``HOT`` sets is first linked by comparing all its sets with its most central one (the set
 of the commonest n-grams), and only sets of different components then walk its tree, in blocks of ``HOT`` sets
-against each other, so a large group of near copies is neither expanded into pairs nor met in one task.
+against each other, so a large group of near copies is neither expanded into pairs nor met in one task. Where links
+are counted, every two sets of one such component are compared as well, whole and in blocks of ``HOT`` against each
+other, and only each set's number of links leaves the task.
 
 Nulls, empties and ties: null and empty texts, and texts without words, have no n-grams, are linked with nothing
 and are their own component. Copies and repeated rows share a node, whatever their number. A null doc_id counts
@@ -315,9 +317,71 @@ def pairs_of(held: list[tuple], key: tuple | None, threshold: int) -> list[tuple
     return out
 
 
-def linked(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+def count_inside(labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """node, n_links: a node's links to others of its component, added up for each two blocks of about HOT sets.
+
+    labels: node, component. Every two sets of a component meet once, so no pair is stored or counted twice.
+    """
+    size = labels.groupBy("component").agg(F.ceil(F.count("*") / HOT).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    met = labels.join(size, "component").withColumn("own", own).withColumn("other", other).select(
+        "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node"
+    )
+    full = met.join(sets.select("node", "grams"), "node")
+    keys = ["component", "low", "high"]
+    sorted_ = full.repartition(partitions(labels.sparkSession), *keys).sortWithinPartitions(*keys)
+    columns = [*keys, "own", "node", "grams"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for f in frames:
+            counts: list[tuple[int, int]] = []
+            for row in zip(*[f[c].tolist() for c in columns]):
+                if row[:3] != key:
+                    counts += links_of(held, key, threshold)
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield pd.DataFrame(counts, columns=["node", "n_links"], dtype="int64")
+        yield pd.DataFrame(links_of(held, key, threshold), columns=["node", "n_links"], dtype="int64")
+
+    return sorted_.select(*columns).mapInPandas(run, "node long, n_links long")
+
+
+def links_of(held: list[tuple], key: tuple | None, threshold: int) -> list[tuple[int, int]]:
+    """(node, links) of sets (own block, node, n-grams) that link: with each other if the key's blocks are one, else
+    with sets of the other block."""
+    if len(held) < 2:
+        return []
+    lists = [np.frombuffer(x[2], np.uint64) for x in held]
+    size = np.array([len(x) for x in lists])
+    _, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(held)), size), count > 1
+    kept = often[column]  # an n-gram of one set is in no overlap
+    row, column = row[kept], (np.cumsum(often) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    own = np.array([x[0] for x in held])
+    one, two = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+    common = np.zeros((len(one), len(two)))
+    for start in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        has = np.zeros((len(held), 4096), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        common += has[one] @ has[two].T
+    link = 100 * common >= threshold * (size[one][:, None] + size[two][None, :] - common)
+    if key[1] == key[2]:
+        np.fill_diagonal(link, False)
+        degree = link.sum(axis=1)
+    else:
+        degree = np.zeros(len(held), np.int64)
+        degree[one], degree[two] = link.sum(axis=1), link.sum(axis=0)
+    return [(x[1], int(n)) for x, n in zip(held, degree) if n]
+
+
+def linked(docs: DataFrame, n: int, threshold: int, counted: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Every document (doc_id, text_hash, n_shingles, node, group: the smallest node reachable, null without
-    n-grams), and the confirmed links (a, b)."""
+    n-grams) and, if counted, the confirmed links of each node that has any (node, n_links)."""
     whole = stored(ordered_sets(docs, n, threshold), "sets")
     every = stored(whole.select("doc_id", "text_hash", "n_grams", "node"), "documents")
     held = whole.where("shared is not null").groupBy("node").agg(
@@ -333,27 +397,34 @@ def linked(docs: DataFrame, n: int, threshold: int) -> tuple[DataFrame, DataFram
     star = rows.join(hot.select("gram", F.col("top.node").alias("pivot")), "gram").where("node <> pivot")
     near = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = stored(confirm(may_link(near, sets, threshold), sets, threshold), "links")
-    found = rows.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = stored(components(links), "labels")
+    inside = stored(count_inside(labels, sets, threshold), "inside") if counted else None
+    every_label = sets.select("node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = rows.join(stored(every_label, "labels"), "node")
     found = stored(found.select("gram", "node", "component"), "shared")
     apart = found.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     found = found.join(stored(apart.select("gram"), "apart"), "gram", "left_semi")
     pairs = stored(walk_trees(found, sets, hot, threshold), "pairs")
-    links = stored(links.union(confirm(pairs, sets, threshold)), "links")
+    across = stored(confirm(pairs, sets, threshold), "links")
+    links = links.union(across)
     label = components(links).select("node", F.col("component").alias("group"))
     keyed = every.select("doc_id", "text_hash", F.col("n_grams").alias("n_shingles"), "node")
     grouped = keyed.join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
     grouped = stored(grouped, "grouped")
     forget(every, sets, pairs)
-    return grouped, links
+    if not counted:
+        return grouped, None
+    one = F.lit(1).cast("long").alias("n_links")
+    ends = across.select(F.col("a").alias("node"), one).union(across.select("b", one)).union(inside)
+    return grouped, ends.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def join(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, node and n_links (confirmed links of the node to other nodes) of every
     document; linked texts share a component_id."""
-    grouped, links = linked(docs, n, threshold)
+    grouped, degree = linked(docs, n, threshold, counted=True)
     least = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    degree = stored(degree.withColumnRenamed("a", "node"), "degree")
+    degree = stored(degree, "degree")
     out = grouped.join(stored(least, "least"), "group", "left").join(degree, "node", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node",

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -52,6 +53,30 @@ def test_join_odd_tables(spark):
     assert {r["doc_id"] for r in kept.where("trim(text) <> ''").collect()} >= {c for c in want if c is not None}
 
 
+def near_copies(k):
+    """k different near copies of one text, some of them near each other only through others."""
+    r = random.Random(k)
+    base = [f"w{i}" for i in range(80)]
+    out = []
+    for i in range(k):
+        w = list(base)
+        for j in r.sample(range(80), 1 + i % 2):
+            w[j] = f"x{i}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_join_counts_every_link(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    df, rows = frame(spark, texts(4, 12) + near_copies(24))
+    sets = [shingles(r[1], 4) for r in rows]
+    nodes = {frozenset(s) for s in sets if s}
+    link = lambda s: sum(100 * len(s & o) >= 85 * len(s | o) for o in nodes) - 1
+    got = sorted(((r["doc_id"], r["n_links"]) for r in ngram_join.join(df, 4, 85).collect()), key=str)
+    assert got == sorted([(r[0], link(s) if s else 0) for r, s in zip(rows, sets)], key=str)
+
+
 def test_prefix_tree_loses_nothing():
     r = np.random.default_rng(0)
     base = r.choice(2000, 200, replace=False)
