@@ -128,6 +128,25 @@ def test_likeness_is_near_the_truth(n, shared):
     assert abs(fingerprints.likeness(a, b) - shared / n) < 0.25
 
 
+@pytest.mark.parametrize("n, shared", [(1, 0), (20_000, 0), (20_000, 15_000), (100_000, 0)])
+def test_likeness_has_no_longest_text(n, shared):
+    prints = [fingerprints.fingerprint([f"p{i if i < shared else i + 10**6 * k}".encode() for i in range(n)]) for k in (1, 2)]
+    assert abs(fingerprints.likeness(*prints) - shared / n) < 0.12
+
+
+@pytest.mark.parametrize("repeated, single", [(1000, 1), (1000, 500), (10, 10)])
+def test_likeness_weighs_repeats(repeated, single):
+    once = [f"p{i}".encode() for i in range(single)]
+    a, b = fingerprints.fingerprint([b"line"] * repeated + once), fingerprints.fingerprint([b"other"] * repeated + once)
+    assert abs(fingerprints.likeness(a, b) - single / (repeated + single)) < 0.12
+
+
+def test_likeness_of_unlike_texts():
+    prints = [fingerprints.fingerprint([f"{i} {j}".encode() for j in range(5 + i % 20)]) for i in range(300)]
+    found = [fingerprints.likeness(a, b) for a, b in zip(prints, prints[1:])]
+    assert np.mean(found) < 0.05 and max(found) < 0.2
+
+
 def test_fingerprint_query(spark):
     df, rows = frame(spark, texts(9, 20))
     got = sorted((tuple(r) for r in fingerprints.compare_edited(df).collect()), key=str)
