@@ -165,19 +165,33 @@ def pooled_percentile(best: DataFrame, least: int = 20) -> DataFrame:
 
     best: athlete, season, value (small is good). percentile = (n - r + 1) / n * 100 for the mid-rank r.
     """
-    size = best.groupBy("season").agg(F.count("*").alias("n_own"))
-    own = best.join(size, "season")
-    reach = F.when(F.col("n_own") >= least, F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    looked = own.select("athlete", "season", "value", F.explode(reach).alias("d")).withColumn("pool", F.col("season") + F.col("d"))
-    pool = best.groupBy(F.col("season").alias("pool"), F.col("value").alias("other")).agg(F.count("*").alias("m"))
-    met = looked.join(pool, "pool").groupBy("athlete", "season", "value").agg(
-        F.sum("m").alias("n"), F.sum(F.when(F.col("other") < F.col("value"), F.col("m")).otherwise(0)).alias("below"),
-        F.sum(F.when(F.col("other") == F.col("value"), F.col("m")).otherwise(0)).alias("ties"),
+    size = best.groupBy(F.col("season").alias("pool")).agg(F.count("*").alias("n_own"))
+    valued = best.groupBy("season", "value").agg(F.count("*").alias("m"))
+    reach = F.explode(F.sequence(F.col("season") - 1, F.col("season") + 1))
+    near = valued.withColumn("pool", reach).join(size, "pool").where((F.col("pool") == F.col("season")) | (F.col("n_own") < least))
+    counts = near.groupBy("pool", F.col("value").alias("v")).agg(F.sum("m").alias("m"))
+    known = F.when(F.col("v").isNotNull(), F.col("m")).otherwise(0)
+    each = W.partitionBy("pool")
+    before = each.orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = counts.select(
+        "pool", "v", F.sum("m").over(each).alias("n"), known.alias("ties"),
+        F.coalesce(F.sum(known).over(before), F.lit(0)).alias("below"),
     )
+    met = best.join(ranked, (F.col("season") == F.col("pool")) & F.col("value").eqNullSafe(F.col("v")))
     r = F.col("below") + (F.col("ties") + 1) / 2
     return met.where(F.col("n") >= least).select("athlete", "season", "n", F.round((F.col("n") - r + 1) / F.col("n") * 100, 2).alias("percentile"))
 
 
+def base_seasons(percentiles: DataFrame, born: DataFrame, grade: int = 6) -> DataFrame:
+    """athlete, sex, season, percentile of each athlete's base season: that of the grade if there is one, else the first.
+
+    percentiles: athlete, season, percentile; born: athlete, sex, birth_year."""
+    first = [F.col("season") - F.col("birth_year") - 6 != grade, F.col("season")]
+    k = F.row_number().over(W.partitionBy("athlete").orderBy(*first))
+    picked = percentiles.join(born, "athlete").withColumn("k", k).where("k = 1")
+    return picked.select("athlete", "sex", "season", "percentile")
+
+
 def adaptive_bands(profiles: DataFrame, least: int = 30) -> DataFrame:
     """Four performance bands; the middle two are one for a sex with any band below ``least``, empty ones included.
 

@@ -270,6 +270,52 @@ def band_retention_wilson(spark, d):
     return g.select("sex", "band", "n", "n_stayed", low.alias("low"), high.alias("high"))
 
 
+# The same over every season, from each athlete's own base season
+
+
+@query(f"WITH {PCT_SQL} SELECT * FROM pct")
+def baseline_percentile_all(spark, d):
+    return marts.pooled_percentile(_best(spark, d))
+
+
+BANDS_ALL_SQL = PCT_SQL + """, born AS (SELECT DISTINCT athlete, sex, birth_year FROM rows),
+  prof AS (SELECT athlete, sex, season, percentile FROM (SELECT p.*, sex, row_number() OVER (PARTITION BY athlete ORDER BY CASE WHEN season - birth_year - 6 = 6 THEN 0 ELSE 1 END, season) AS k
+    FROM pct p JOIN born USING (athlete)) WHERE k = 1),
+  b1 AS (SELECT *, CASE WHEN percentile >= 90 THEN 'a' WHEN percentile >= 70 THEN 'b' WHEN percentile >= 50 THEN 'c' ELSE 'd' END AS first_band FROM prof),
+  s AS (SELECT sex, least(count(*) FILTER (WHERE first_band = 'a'), count(*) FILTER (WHERE first_band = 'b'), count(*) FILTER (WHERE first_band = 'c'), count(*) FILTER (WHERE first_band = 'd')) AS fewest FROM b1 GROUP BY 1),
+  b2 AS (SELECT athlete, sex, season, percentile, CASE WHEN first_band IN ('b', 'c') AND fewest < 30 THEN 'bc' ELSE first_band END AS band FROM b1 JOIN s USING (sex))"""
+
+
+def _bands_all(spark, d):
+    born = rows(spark, d).select("athlete", "sex", "birth_year").distinct()
+    prof = marts.base_seasons(marts.pooled_percentile(_best(spark, d)), born)
+    return marts.adaptive_bands(prof).join(prof.select("athlete", "season"), "athlete")
+
+
+@query(f"WITH {BANDS_ALL_SQL} SELECT * FROM b2")
+def adaptive_bands_all(spark, d):
+    return _bands_all(spark, d)
+
+
+@query(f"""WITH {BANDS_ALL_SQL}, k AS (SELECT DISTINCT athlete, season FROM rows),
+  f AS (SELECT b2.*, b2.season + 1 < (SELECT max(season) FROM rows) AS followed, k.athlete IS NOT NULL AS stayed FROM b2 LEFT JOIN k ON k.athlete = b2.athlete AND k.season = b2.season + 1),
+  g AS (SELECT sex, band, count(*) AS n_band, count(*) FILTER (WHERE followed) AS n, count(*) FILTER (WHERE followed AND stayed) AS k FROM f GROUP BY 1, 2),
+  h AS (SELECT *, k / nullif(n, 0) AS p FROM g), i AS (SELECT sex, band, n_band, n, k, {WILSON} FROM h)
+  SELECT sex, band, n_band, n AS n_followed, k AS n_stayed, CASE WHEN n > 0 THEN low END AS low, CASE WHEN n > 0 THEN high END AS high FROM i""")
+def band_retention_all(spark, d):
+    """Whoever's next season is the table's last, which may not be over, or comes after it, is in n_band but is not followed."""
+    r = rows(spark, d)
+    last = r.agg(F.max("season").alias("last"))
+    after = r.select("athlete", (F.col("season") - 1).alias("season")).distinct().withColumn("stayed", F.lit(1))
+    followed = F.col("season") + 1 < F.col("last")
+    g = _bands_all(spark, d).join(after, ["athlete", "season"], "left").crossJoin(F.broadcast(last)).groupBy("sex", "band").agg(
+        F.count("*").alias("n_band"), F.count(F.when(followed, 1)).alias("n_followed"), F.count(F.when(followed, F.col("stayed"))).alias("n_stayed")
+    )
+    n = F.when(F.col("n_followed") > 0, F.col("n_followed"))
+    low, high = (F.when(n.isNotNull(), x) for x in scalars.wilson(F.col("n_stayed"), n))
+    return g.select("sex", "band", "n_band", "n_followed", "n_stayed", low.alias("low"), high.alias("high"))
+
+
 @query(f"""WITH {ROWS_SQL}, b AS (SELECT athlete, code AS distance, season, min(value) AS value FROM rows GROUP BY 1, 2, 3),
   l AS (SELECT *, lag(season) OVER w AS ps, lag(value) OVER w AS pv FROM b WINDOW w AS (PARTITION BY athlete, distance ORDER BY season))
   SELECT athlete, distance, season, round(pv - value, 3) AS gain FROM l WHERE ps = season - 1""")

@@ -143,3 +143,27 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["kind"], r["n"]) for r in spark.table("counts").collect()} == {("a", 2), ("b", 2)}
+
+
+def test_percentiles_of_every_season_equal_brute_force(spark):
+    r = random.Random(5)
+    best = [(a, s, float(r.randint(1, 12))) for s, n in ((1990, 30), (1991, 8), (1992, 15), (1994, 9), (1997, 40)) for a in r.sample(range(60), n)]
+    want = []
+    for a, s, v in best:
+        own = [x for _, t, x in best if t == s]
+        pool = own if len(own) >= 20 else [x for _, t, x in best if abs(t - s) <= 1]
+        if len(pool) >= 20:
+            rank = sum(x < v for x in pool) + (sum(x == v for x in pool) + 1) / 2
+            want.append((a, s, len(pool), (len(pool) - rank + 1) / len(pool) * 100))
+    got = marts.pooled_percentile(spark.createDataFrame(best, "athlete long, season long, value double")).collect()
+    assert sorted(tuple(x)[:3] for x in got) == sorted(x[:3] for x in want)
+    assert {s for _, s, *_ in want} == {1990, 1991, 1992, 1997}
+    near = {(a, s): p for a, s, _, p in want}
+    assert all(abs(x["percentile"] - near[x["athlete"], x["season"]]) < 0.006 for x in got)
+
+
+def test_base_season_is_each_athletes_own(spark):
+    pct = [(1, 1999, 10.0), (1, 2000, 20.0), (1, 2001, 30.0), (2, 1996, 40.0), (2, 2000, 50.0)]
+    born = [(1, "F", 1988), (2, "M", 1980)]
+    got = marts.base_seasons(spark.createDataFrame(pct, "athlete long, season long, percentile double"), spark.createDataFrame(born, "athlete long, sex string, birth_year long"))
+    assert sorted(map(tuple, got.collect())) == [(1, "F", 2000, 20.0), (2, "M", 1996, 40.0)]
