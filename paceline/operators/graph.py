@@ -37,17 +37,40 @@ def degrees(links: DataFrame) -> DataFrame:
     return ends.groupBy("athlete").agg(F.count("*").alias("degree"))
 
 
-def hops(links: DataFrame, start: list, most: int) -> DataFrame:
-    """athlete and its distance from the start set, up to ``most`` steps over links (a, b)."""
+def hops(links: DataFrame, start: list, most: int | None = None) -> DataFrame:
+    """athlete and its distance from the start set over links (a, b): all that can be reached, or up to ``most`` steps."""
     spark = links.sparkSession
     both = cut(links.select("a", "b").unionAll(links.select("b", "a")).distinct())
     kind = links.schema["a"].dataType.simpleString()
     seen = spark.createDataFrame([(x, 0) for x in start], f"athlete {kind}, hop long")
     front = seen
-    for step in range(1, most + 1):
+    step = 0
+    while most is None or step < most:
+        step += 1
         near = front.join(both, front["athlete"] == both["a"]).select(F.col("b").alias("athlete")).distinct()
         front = cut(near.join(seen, "athlete", "left_anti").withColumn("hop", F.lit(step).cast("long")))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = cut(seen.unionByName(front))
     return seen
+
+
+def race_hops(entries: DataFrame, start: list) -> DataFrame:
+    """athlete and its distance from the start set over shared races, until no athlete is new. The search goes over the
+    bipartite graph of athletes and races, each race once, so no pairs of a race are made."""
+    spark = entries.sparkSession
+    rows = cut(entries.select("race", "athlete").distinct())
+    kind = rows.schema["athlete"].dataType.simpleString()
+    seen = spark.createDataFrame([(x, 0) for x in sorted(set(start))], f"athlete {kind}, hop long")
+    front, step = seen.select("athlete"), 0
+    left = rows
+    while True:
+        step += 1
+        races = left.join(front, "athlete", "left_semi").select("race").distinct()
+        races = cut(races)
+        near = left.join(races, "race", "left_semi").select("athlete").distinct()
+        front = cut(near.join(seen, "athlete", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front.withColumn("hop", F.lit(step).cast("long"))))
+        left = cut(left.join(races, "race", "left_anti"))

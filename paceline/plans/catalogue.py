@@ -598,6 +598,26 @@ def bfs_hops(spark, d):
     return graph.hops(graph.edges(dear.select(F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("athlete"))), [1], 3)
 
 
+# The same over all rows, to the last hop
+
+
+def _line_entries(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("athlete"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey),
+  r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS athlete, min(b) AS component FROM r GROUP BY 1""")
+def components_all(spark, d):
+    return graph.memberships(_line_entries(spark, d))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey),
+  h(athlete, hop) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.b, hop + 1 FROM h JOIN e ON e.a = h.athlete WHERE hop < (SELECT count(DISTINCT l_suppkey) FROM lineitem))
+  SELECT athlete, min(hop) AS hop FROM h GROUP BY 1""")
+def bfs_hops_all(spark, d):
+    return graph.race_hops(_line_entries(spark, d), [1])
+
+
 @query("""WITH RECURSIVE m AS (SELECT c_custkey AS sub, c_custkey // 2 AS main FROM customer WHERE c_custkey > 1),
   r(sub, main) AS (SELECT sub, main FROM m UNION ALL SELECT r.sub, m.main FROM r JOIN m ON r.main = m.sub)
   SELECT sub, min(main) AS main FROM r GROUP BY 1""")

@@ -167,3 +167,35 @@ def test_base_season_is_each_athletes_own(spark):
     born = [(1, "F", 1988), (2, "M", 1980)]
     got = marts.base_seasons(spark.createDataFrame(pct, "athlete long, season long, percentile double"), spark.createDataFrame(born, "athlete long, sex string, birth_year long"))
     assert sorted(map(tuple, got.collect())) == [(1, "F", 2000, 20.0), (2, "M", 1996, 40.0)]
+
+
+def hops_from(rows, start):
+    hop, front = dict.fromkeys(start, 0), set(start)
+    while front:
+        races = {r for r, a in rows if a in front}
+        front = {a for r, a in rows if r in races} - hop.keys()
+        hop |= dict.fromkeys(front, max(hop.values()) + 1)
+    return hop
+
+
+def test_hops_go_on_until_nobody_is_new(spark):
+    chain = [(r, a) for r in range(7) for a in (r, r + 1)]
+    rows = chain + [(2, 50), (9, 50), (9, 51), (9, 51), (20, 60), (20, 61), (21, 5)]
+    df = spark.createDataFrame(rows, "race long, athlete long")
+    want = sorted(hops_from(rows, [0]).items())
+    assert max(h for _, h in want) == 7
+    assert sorted(map(tuple, graph.race_hops(df, [0]).collect())) == want
+    assert sorted(map(tuple, graph.hops(graph.edges(df), [0]).collect())) == want
+    assert sorted(map(tuple, graph.hops(graph.edges(df), [0], 2).collect())) == [x for x in want if x[1] <= 2]
+
+
+def test_graph_queries_read_every_line(spark, tmp_path):
+    from paceline.plans import catalogue
+
+    lines = [(1, 1, 95000.0), (1, 2, 100.0), (2, 2, 100.0), (2, 3, 95000.0), (3, 3, 1.0), (3, 4, 1.0), (4, 4, 1.0), (4, 5, 1.0), (5, 5, 1.0), (5, 6, 1.0), (6, 7, 1.0), (6, 8, 95000.0), (7, 9, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = [x[:2] for x in lines]
+    hops = {tuple(x) for x in catalogue.QUERIES["bfs_hops_all"](spark, str(tmp_path)).collect()}
+    assert hops == set(hops_from(rows, [1]).items()) and max(h for _, h in hops) == 5
+    found = {tuple(x) for x in catalogue.QUERIES["components_all"](spark, str(tmp_path)).collect()}
+    assert found == {(a, min(hops_from(rows, [a]))) for _, a in rows}
