@@ -14,7 +14,11 @@ BLOCK = frozenset(
     "title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template title textarea noframes iframe svg math canvas object select".split())
+RAW = frozenset("script style template title textarea noframes iframe".split())
+#: Elements whose text stays in the run around them, which is marked with their names up to the next block-level tag.
+EMBEDDED = frozenset("svg math canvas object".split())
+#: What a select holds; any other block-level tag ends one that was not closed.
+CHOICES = frozenset("option optgroup hr".split())
 #: Elements that a new block-level tag closes.
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Elements closed by one of the same group, up to the list or table that holds them.
@@ -38,6 +42,7 @@ class Leaf:
     names: frozenset[str]
     link_chars: int
     controls: int = 0
+    embedded: frozenset[str] = frozenset()
     extra: dict = field(default_factory=dict)
 
 
@@ -53,6 +58,8 @@ def leaves(page: str | None) -> list[Leaf]:
     out: list[Leaf] = []
     pieces: list[str] = []
     links = anchors = controls = at = 0
+    inside: set[str] = set()
+    embedded: set[str] = set()
 
     def flush() -> None:
         nonlocal links, controls
@@ -60,14 +67,18 @@ def leaves(page: str | None) -> list[Leaf]:
         if text and not any(hidden for _, _, hidden in stack):
             path = tuple(t for t, _, _ in stack)
             names = frozenset().union(*(n for _, n, _ in stack)) if stack else frozenset()
-            out.append(Leaf(text, path[-1] if path else "", path, names, min(links, len(text)), controls))
+            out.append(Leaf(text, path[-1] if path else "", path, names, min(links, len(text)), controls, frozenset(embedded)))
         pieces.clear()
+        inside.clear()
+        embedded.clear()
         links = controls = 0
 
     def add(text: str) -> None:
         nonlocal links
         if text:
             pieces.append(text)
+            if inside and text.strip():
+                embedded.update(inside)
             if anchors > 0:
                 links += len(text.strip())
 
@@ -94,23 +105,37 @@ def leaves(page: str | None) -> list[Leaf]:
         if not end:
             if tag in RAW and not attributes.rstrip().endswith("/"):
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if "svg" in inside:  # a drawing's title or style ends no run, nor, unclosed, the page
+                    close_svg = re.compile("</svg", re.I).search(page, at)
+                    if stop and not (close_svg and close_svg.start() < stop.start()):
+                        at = stop.end()
+                    continue
                 if tag in BLOCK:
                     flush()
                 at = stop.end() if stop else size
+            elif tag in EMBEDDED:
+                pieces.append("" if tag == "math" else " ")
+                if not attributes.rstrip().endswith("/"):
+                    inside.add(tag)
             elif tag in BLOCK:
                 flush()
+                if tag not in CHOICES:
+                    close(("select",))
                 if stack and stack[-1][0] in CLOSED_BY_BLOCK:
                     stack.pop()
                 if tag in SIBLINGS:
                     close(SIBLINGS[tag], HOLDERS)
                 if tag not in VOID:
                     stack.append((tag, _names(attributes), bool(attributes) and _HIDDEN.search(attributes) is not None))
-            elif tag == "br":
+            elif tag == "br" or "svg" in inside and tag in ("text", "desc"):
                 pieces.append(" ")
             elif tag == "a":
                 anchors = 1
             elif tag in ("input", "label"):
                 controls += 1
+        elif tag in EMBEDDED:
+            pieces.append("" if tag == "math" else " ")
+            inside.discard(tag)
         elif tag in BLOCK:
             flush()
             anchors = 0 if tag != "a" else anchors

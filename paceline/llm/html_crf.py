@@ -47,6 +47,7 @@ def features(block: Leaf, index: int, total: int) -> list[str]:
     out.append("stop" if last in ".!?…" else "nostop")
     out += [f"in={t}" for t in path & BAD_PATH] + [f"in={t}" for t in path & GOOD_PATH]
     out += [f"in={t}" for t in path & {"li", "td", "blockquote", "section", "figure", "pre"}]
+    out += [f"in={t}" for t in block.embedded]
     good, bad = names & GOOD_NAMES, names & BAD_NAMES
     out += [f"name={w}" for w in good | bad]
     if bad or path & BAD_PATH:

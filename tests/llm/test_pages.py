@@ -12,6 +12,20 @@ def test_leaves():
     assert [x.text for x in leaves("<p>cut <b")] == ["cut <b"]
 
 
+def test_leaves_keep_embedded_text():
+    text = lambda page: [x.text for x in leaves(page)]
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo>1</math> be</p>") == ["Let x=1 be"]
+    assert text("<p>a <svg><title>icon</title><path/></svg> b</p>") == ["a b"]
+    assert text("<select><option>A<option>B</select><object><p>old</object><canvas>c</canvas>") == ["A", "B", "old c"]
+    for tag in ("select", "svg", "math", "canvas", "object", "svg><title"):
+        found = leaves(f"<div>menu<{tag}></div><article><p>The article.</p></article>")
+        assert [x.text for x in found] == ["menu", "The article."] and found[1].path == ("article", "p")
+    assert leaves("<select><option>A<article><p>b")[1].path == ("article", "p")
+    found = leaves("<p>x<math>y</math></p><p>z</p>")
+    assert [x.embedded for x in found] == [{"math"}, frozenset()] and "in=math" in html_crf.page_features(found)[0]
+    assert text("<p>a</p><script>b<p>c") == ["a"]
+
+
 def test_held_out_pages():
     model = html_crf.trained()
     wrong = total = 0
