@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import in_blocks, partitions, release, scratch_path
+from paceline.llm.common import block_rows, expand, in_blocks, partitions, release, scratch_path, squeeze
 from paceline.llm.grams import in_groups, mix, word_hashes
 
 K = 5
@@ -68,11 +68,11 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def planes(values: np.ndarray, width: int) -> bytes:
     """Integers as byte planes, compressed."""
     raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+    return squeeze(np.ascontiguousarray(raw.T).tobytes())
 
 
 def unplanes(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T
+    raw = np.frombuffer(expand(data), np.uint8).reshape(width, -1).T
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :width] = raw
     return wide.view("<u8")[:, 0]
@@ -156,6 +156,7 @@ def word_answers(dealt: DataFrame, parts: int, held_out: Callable) -> DataFrame:
     """level 1: (block, part, data: counts of the block's words in the part, stats of the part on one row)."""
 
     def send(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = block_rows(f)
         c = Counts(list(f["doc_id"]), list(f["text"]), held_out)
         at = ranges(c.words, parts)
         rows = [
@@ -209,6 +210,7 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
         names = ["block", "part", "keys", "sizes", "found", "seconds", "counts", "uni", "ask"]
         if not len(left):
             return pd.DataFrame([], columns=names)
+        block, left = left["block"].iloc[0], block_rows(left)
         c = Counts(list(left["doc_id"]), list(left["text"]), held_out)
         c.bigrams(read_counts(right, c, parts), share)
         at = ranges(c.history, parts)
@@ -219,7 +221,7 @@ def bigram_answers(dealt: DataFrame, words: DataFrame, parts: int, share: float,
                 x, y = row[a], row[b]
                 second = c.pairs[x:y] & np.uint64((1 << int(SECOND_BITS)) - 1)
                 found, index, first = pack_seconds(second)
-                rows.append((left["block"].iloc[0], p, planes(np.diff(c.history[a:b], prepend=np.uint64(0)), 8), planes(c.per_history[a:b], 8), found, index, planes(c.pair_count[x:y], 8), planes(c.second_count[x:y][first], 8), np.packbits(c.ask[a:b]).tobytes()))
+                rows.append((block, p, planes(np.diff(c.history[a:b], prepend=np.uint64(0)), 8), planes(c.per_history[a:b], 8), found, index, planes(c.pair_count[x:y], 8), planes(c.second_count[x:y][first], 8), np.packbits(c.ask[a:b]).tobytes()))
         return pd.DataFrame(rows, columns=names)
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -358,6 +360,7 @@ def score(docs: DataFrame, held_out: Callable[[int | None], bool]) -> DataFrame:
     dealt, stored, model, parts, share = train(docs, held_out)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = block_rows(left)
         c = Counts(list(left["doc_id"]), list(left["text"]), held_out)
         counts = read_counts(right[right["level"] == 1], c, parts)
         c.bigrams(counts, share)

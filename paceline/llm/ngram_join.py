@@ -27,7 +27,6 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import forget, in_blocks, partitions, stored
+from paceline.llm.common import block_rows, expand, forget, in_blocks, partitions, squeeze, stored
 from paceline.llm.components import components
 from paceline.llm.grams import gram_hashes, in_groups, mix, word_hashes
 
@@ -92,11 +91,11 @@ def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), 1)
+    return squeeze(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes())
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(5, -1).T
+    raw = np.frombuffer(expand(data), np.uint8).reshape(5, -1).T
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :5] = raw
     return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
@@ -107,10 +106,10 @@ def count_classes(dealt: DataFrame, n: int) -> tuple[DataFrame, int]:
     parts = partitions(dealt.sparkSession)
 
     def send(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        keys, count = block_keys(distinct_sets(list(f["text"]), n)[1])
+        keys, count = block_keys(distinct_sets(list(block_rows(f)["text"]), n)[1])
         at = _bounds(keys, parts)
         rows = [
-            (key[0], p, pack_keys(keys[a:b]), zlib.compress(np.minimum(count[a:b], 65535).astype("<u2").tobytes(), 1))
+            (key[0], p, pack_keys(keys[a:b]), squeeze(np.minimum(count[a:b], 65535).astype("<u2").tobytes()))
             for p, (a, b) in enumerate(zip(at[:-1], at[1:]))
             if b > a
         ]
@@ -118,12 +117,12 @@ def count_classes(dealt: DataFrame, n: int) -> tuple[DataFrame, int]:
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         lists = [unpack_keys(x) for x in f["keys"]]
-        counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u2") for x in f["counts"]])
+        counts = np.concatenate([np.frombuffer(expand(x), "<u2") for x in f["counts"]])
         every, place = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(every))
         rank = np.minimum(2 * np.log2(total), 255).astype(np.uint8)[place]
         ends = np.cumsum([len(x) for x in lists])
-        data = [zlib.compress(x.tobytes(), 1) for x in np.split(rank, ends[:-1])]
+        data = [squeeze(x.tobytes()) for x in np.split(rank, ends[:-1])]
         return pd.DataFrame({"block": f["block"], "part": f["part"], "classes": data})
 
     sent = dealt.groupBy("block").applyInPandas(send, "block int, part int, keys binary, counts binary")
@@ -135,17 +134,17 @@ def ordered_sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     rest (n-grams past the prefix), central, shared (the prefix n-grams of more than one set, in global order, by
     the upper 32 bits of their hashes; n-grams of one set that agree in these count as part of rest) and grams (the
     whole set)."""
-    dealt = in_blocks(docs)
+    dealt = in_blocks(docs, hashed=True)
     classes, parts = count_classes(dealt, n)
-    dealt = dealt.withColumn("text_hash", F.xxhash64("text"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = block_rows(left)
         nodes, found = distinct_sets(list(left["text"]), n)
         keys, _ = block_keys(found)
         at = _bounds(keys, parts)
         rank = np.zeros(len(keys), np.uint8)
         for p, data in zip(right["part"], right["classes"]):
-            rank[at[p] : at[p + 1]] = np.frombuffer(zlib.decompress(data), np.uint8)
+            rank[at[p] : at[p + 1]] = np.frombuffer(expand(data), np.uint8)
         rows, seen = [], set()
         for doc_id, text_hash, node in zip(left["doc_id"], left["text_hash"], nodes):
             doc_id = None if pd.isna(doc_id) else int(doc_id)

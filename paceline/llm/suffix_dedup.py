@@ -27,7 +27,6 @@ gives no rows. ``dedup`` carries all other columns.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.llm.common import in_blocks, partitions
+from paceline.llm.common import block_table, expand, in_blocks, partitions, squeeze
 from paceline.llm.grams import _VALUE, mix
 
 LENGTH = 200
@@ -144,11 +143,11 @@ def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def pack_keys(keys: np.ndarray) -> bytes:
     wide = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zlib.compress(wide[:, :KEY_BYTES].T.tobytes(), 1)
+    return squeeze(wide[:, :KEY_BYTES].T.tobytes())
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(KEY_BYTES, -1).T
+    raw = np.frombuffer(expand(data), np.uint8).reshape(KEY_BYTES, -1).T
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :KEY_BYTES] = raw
     return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
@@ -249,11 +248,11 @@ def _pack_strings(different: list[tuple], count: np.ndarray) -> bytes:
     h, c, s = (np.array([r[i] for r in different]) for i in range(3))
     head = np.array([len(different)], "<u4").tobytes()
     parts = [h.astype("<u8"), c.astype("<i4"), s.astype("<u4"), np.minimum(count, 2).astype(np.uint8)]
-    return zlib.compress(head + b"".join(p.tobytes() for p in parts) + b"".join(r[3] for r in different), 1)
+    return squeeze(head + b"".join(p.tobytes() for p in parts) + b"".join(r[3] for r in different))
 
 
 def _unpack_strings(packed: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    data = zlib.decompress(packed)
+    data = expand(packed)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     at, out = 4, []
     for kind, size in (("<u8", 8), ("<i4", 4), ("<u4", 4), ("u1", 1)):
@@ -273,7 +272,7 @@ def find_twice(dealt: DataFrame, parts: int, length: int) -> DataFrame:
     """(block, part, flags): for the sorted anchor keys of a block in a part, whether they came twice or more."""
 
     def send(key: tuple, f: pa.Table) -> pa.Table:
-        keys, count = Block(f["text"].to_pylist(), length).keys()
+        keys, count = Block(block_table(f["rows"].to_pylist())["text"].to_pylist(), length).keys()
         at = part_bounds(keys, parts)
         rows = [(key[0].as_py(), p, pack_keys(keys[a:b]), np.packbits(count[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
         return arrow_rows(rows, {"block": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "many": pa.binary()})
@@ -309,7 +308,7 @@ def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) ->
     """(block, part, flags): for the sorted surroundings of a block in a part, which of their starts are repeated."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left["text"].to_pylist(), length)
+        block = Block(block_table(left["rows"].to_pylist())["text"].to_pylist(), length)
         different, count, _ = block.strings(chosen_runs(block, right.to_pandas(), parts))
         at = _by_part(different, parts)
         rows = [(left["block"][0].as_py(), p, _pack_strings(different[a:b], count[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
@@ -338,7 +337,7 @@ def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) ->
         for rows in place:
             n = starts[rows]
             at = np.arange(int(n.sum())) + np.repeat(begin[rows] - (np.cumsum(n) - n), n)
-            out.append(zlib.compress(np.packbits(flags[at]).tobytes(), 1))
+            out.append(squeeze(np.packbits(flags[at]).tobytes()))
         return pd.DataFrame({"block": f["block"], "part": f["part"], "repeats": out})
 
     sent = dealt.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(
@@ -357,7 +356,7 @@ def removed_bytes(block: Block, flags: pd.DataFrame, repeats: pd.DataFrame, part
     hit = np.zeros(int(begin[-1]), bool)
     for p, data in zip(repeats["part"], repeats["repeats"]):
         a, b = begin[at[p]], begin[at[p + 1]]
-        hit[a:b] = np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=int(b - a)).astype(bool)
+        hit[a:b] = np.unpackbits(np.frombuffer(expand(data), np.uint8), count=int(b - a)).astype(bool)
     n = block.count[chosen]
     source = np.arange(int(n.sum())) + np.repeat(begin[row] - (np.cumsum(n) - n), n)
     start = np.arange(int(n.sum())) + np.repeat(block.first[chosen] - (np.cumsum(n) - n), n)
@@ -379,12 +378,14 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     told = twice.select("block", "part", "flags", F.lit(None).cast("binary").alias("repeats")).unionByName(
         repeats.select("block", "part", F.lit(None).cast("binary").alias("flags"), "repeats")
     )
+    rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
-         T.StructField("kept", T.BinaryType()), *[f for f in dealt.schema if f.name == "rest"]]
+         T.StructField("kept", T.BinaryType()), *([T.StructField("rest", T.StructType(rest))] if rest else [])]
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = block_table(left["rows"].to_pylist())
         block = Block(left["text"].to_pylist(), length)
         told = right.to_pandas()
         gone = removed_bytes(block, told[told["flags"].notna()], told[told["repeats"].notna()], parts)

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from paceline.llm.common import in_blocks, partitions
+from paceline.llm.common import block_rows, expand, in_blocks, partitions, squeeze
 from paceline.llm.tokens import WordEncoder, encoder
 
 #: Bytes of text in a block, about: the more, the fewer words are sent more than once.
@@ -44,16 +44,20 @@ def words_by_part(texts: list[str], parts: int) -> dict[int, list[str]]:
     return out
 
 
+def joined(words: list[str]) -> bytes:
+    return "\n".join(words).encode("utf-8", "surrogatepass")
+
+
 def pack_ids(flat: np.ndarray, sizes: np.ndarray) -> bytes:
     """Numbers of ids as bytes or more, and ids as byte planes."""
     wide = 1 if not len(sizes) or sizes.max() < 255 else 4
     head = np.array([len(sizes), wide], "<u4").tobytes()
     planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return zlib.compress(head + sizes.astype(f"<u{wide}").tobytes() + planes, 6)
+    return squeeze(head + sizes.astype(f"<u{wide}").tobytes() + planes, 9)
 
 
 def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(data)
+    raw = expand(data)
     n, wide = np.frombuffer(raw, "<u4", 2).tolist()
     sizes = np.frombuffer(raw, f"<u{wide}", n, 8).astype(np.int64)
     planes = np.frombuffer(raw, np.uint8, offset=8 + n * wide).reshape(4, -1)
@@ -62,18 +66,19 @@ def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def send_words(dealt: DataFrame, parts: int) -> DataFrame:
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        found = words_by_part(list(f["text"]), parts)
-        data = [zlib.compress("\n".join(ws).encode("utf-8", "surrogatepass"), 6) for ws in found.values()]
+        found = words_by_part(list(block_rows(f)["text"]), parts)
+        data = [squeeze(joined(ws), 9) for ws in found.values()]
         return pd.DataFrame({"block": np.int32(key[0]), "part": list(found), "words": data})
 
     return dealt.groupBy("block").applyInPandas(run, "block int, part int, words binary")
 
 
-def answer(sent: DataFrame, tokenizer: str) -> DataFrame:
+def answer(asked: DataFrame, tokenizer: str) -> DataFrame:
     """Encodes each distinct word of a part once and answers every block that sent it."""
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        lists = [zlib.decompress(x).decode("utf-8", "surrogatepass").split("\n") for x in f["words"]]
+        sent = [expand(x) for x in f["words"]]
+        lists = [x.decode("utf-8", "surrogatepass").split("\n") for x in sent]
         row = {w: i for i, w in enumerate({w: None for ws in lists for w in ws})}
         encode = encoder("word", tokenizer)
         words = list(row)
@@ -86,9 +91,10 @@ def answer(sent: DataFrame, tokenizer: str) -> DataFrame:
             n = sizes[rows]
             at = np.arange(int(n.sum())) + np.repeat(start[rows] - (np.cumsum(n) - n), n)
             replies.append(pack_ids(flat[at], n))
-        return pd.DataFrame({"block": f["block"], "part": np.int32(key[0]), "ids": replies})
+        digest = [zlib.crc32(x) for x in sent]
+        return pd.DataFrame({"block": f["block"], "part": np.int32(key[0]), "digest": digest, "ids": replies})
 
-    return sent.groupBy("part").applyInPandas(run, "block int, part int, ids binary")
+    return asked.groupBy("part").applyInPandas(run, "block int, part int, digest long, ids binary")
 
 
 def pieces_of(tokenizer: str) -> list[str]:
@@ -108,6 +114,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, texts_out: bool = False)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         piece = pieces_of(tokenizer)
+        left = block_rows(left)
         texts = list(left["text"])
         found = words_by_part(texts, parts)
         row: dict[str, int] = {}
@@ -122,18 +129,17 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, texts_out: bool = False)
             decoded.append(" ".join([piece[i] for i in ids]))
             counts.append(len(ids))
 
-        for part, data in zip(right["part"], right["ids"]):
+        told = {int(p): (d, x) for p, d, x in zip(right["part"], right["digest"], right["ids"])}
+        encode = encoder("word", tokenizer)
+        for part, words in found.items():
+            digest, data = told[part]
+            if digest != zlib.crc32(joined(words)):
+                raise ValueError(f"part {part} answered other words than this block sent")
             flat, sizes = unpack_ids(data)
-            words = found.get(int(part), [])
-            if len(words) != len(sizes):
-                continue  # the block was dealt anew with other rows; its words are encoded below
             every, at = flat.tolist(), 0
             for w, n in zip(words, sizes.tolist()):
                 keep(w, every[at : at + n])
                 at += n
-        encode = encoder("word", tokenizer)
-        for w in [w for ws in found.values() for w in ws if w not in row]:
-            keep(w, encode.whole(w))
         rows = []
         for doc_id, text in zip(left["doc_id"], texts):
             if WordEncoder.odd(text):
