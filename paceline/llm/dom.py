@@ -25,6 +25,9 @@ CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select".split())
 
+#: Words that make a name one of a variant of what is named.
+VARIANTS = frozenset("no not non without with has free less open closed enabled disabled show hide hides type status format".split())
+
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>]++)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)",
     re.S,
@@ -39,7 +42,8 @@ class Leaf:
     text: str
     tag: str
     path: tuple[str, ...]
-    names: frozenset[str]
+    #: The words of class, id and role names of each element of the path.
+    names: tuple[frozenset[str], ...]
     link_chars: int
     controls: int = 0
     embedded: frozenset[str] = frozenset()
@@ -47,8 +51,10 @@ class Leaf:
 
 
 def _names(attributes: str) -> frozenset[str]:
+    """The words of the names that say what an element is; names of a variant, such as has-sidebar, say nothing."""
     found = [next(filter(None, m), "") for m in _NAMES.findall(attributes)] if attributes else []
-    return frozenset(w.lower() for x in found for w in _WORD.findall(x))
+    tokens = [[w.lower() for w in _WORD.findall(t)] for x in found for t in x.split()]
+    return frozenset(w for t in tokens if VARIANTS.isdisjoint(t) for w in t)
 
 
 def leaves(page: str | None) -> list[Leaf]:
@@ -66,7 +72,7 @@ def leaves(page: str | None) -> list[Leaf]:
         text = " ".join(html.unescape("".join(pieces)).split()) if pieces else ""
         if text and not any(hidden for _, _, hidden in stack):
             path = tuple(t for t, _, _ in stack)
-            names = frozenset().union(*(n for _, n, _ in stack)) if stack else frozenset()
+            names = tuple(n for _, n, _ in stack)
             out.append(Leaf(text, path[-1] if path else "", path, names, min(links, len(text)), controls, frozenset(embedded)))
         pieces.clear()
         inside.clear()

@@ -5,12 +5,14 @@ ancestors' tags and name words (class, id, role), the share of its text in links
 chain's weights join neighbours. Weights are fitted on labelled pages by gradient steps on the conditional
 likelihood, and pages are decoded by Viterbi.
 
-The labelled pages are made by ``labelled_pages``: layouts of many kinds, whose parts are known to be the article
-or menus, headers, footers, sidebars, notices, adverts, forms or reader comments. Other labelled pages can be given
-to ``fit``. Fitting takes ``TRAIN_PAGES`` pages on the driver, a fixed number, in a few seconds.
+The labelled pages are made by ``labelled_pages``: layouts of many kinds (marked up, by names alone, by tables, bare),
+whose parts are known to be the article or menus, headers, footers, sidebars, notices, adverts, forms or reader
+comments. Other labelled pages can be given to ``fit``. Fitting takes ``TRAIN_PAGES`` pages on the driver, a fixed
+number, in a few seconds.
 
 Nulls, empties and ties: a null or empty page has an empty text, as has a page without an article's block. Of
-decodings of equal weight the one with fewer article blocks wins. Repeated rows are extracted row by row. Columns
+decodings of equal weight the one with fewer article blocks wins. Repeated rows are extracted row by row. An empty
+table gives no rows. A page of any length is parsed and decoded whole, in memory that grows with that page. Columns
 other than page_id, url and html are ignored.
 """
 
@@ -25,46 +27,62 @@ from pyspark.sql import DataFrame
 
 from paceline.llm.dom import Leaf, leaves
 
-TRAIN_PAGES = 300
+TRAIN_PAGES = 400
 #: Words of class and id names that speak for or against an article.
-GOOD_NAMES = frozenset("article articlebody body content entry main post prose story text".split())
+GOOD_NAMES = frozenset("article articlebody body content entry hentry main post prose story text".split())
 BAD_NAMES = frozenset(
-    "ad ads advert advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright "
-    "disqus footer form header links login masthead menu meta modal nav navbar navigation newsletter notice notices "
-    "pager pagination popup promo promoted related reply respond search share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe tags toolbar widget alert reader".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment commentlist comments consent cookie "
+    "cookies copyright disqus footer form gdpr header links login masthead menu meta modal nav navbar navigation newsletter "
+    "notice notices pager pagination popup promo promoted related reply replies respond responses search share sharing "
+    "sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget alert reader".split()
 )
 BAD_PATH = frozenset("nav header footer aside form menu button select dialog fieldset search".split())
 GOOD_PATH = frozenset("article main".split())
+HOLDERS = frozenset("li td th blockquote section figure figcaption pre dd dt".split())
 
 
-def features(block: Leaf, index: int, total: int) -> list[str]:
-    path, names, n = set(block.path), block.names, len(block.text)
+def signal(tag: str, names: frozenset[str]) -> str:
+    """What an element says of its text: bad, good or nothing."""
+    if tag in BAD_PATH or names & BAD_NAMES:
+        return "bad"
+    return "good" if tag in GOOD_PATH or names & GOOD_NAMES else ""
+
+
+def standing(block: Leaf) -> str:
+    """The signals of the block's ancestors from the outermost on, repeats as one: plain, good, bad, good>bad, ..."""
+    found: list[str] = []
+    for tag, names in zip(block.path, block.names):
+        x = signal(tag, names) if tag not in ("html", "body") else ""
+        if x and x != (found[-1] if found else ""):
+            found.append(x)
+    return ">".join(found[-3:]) or "plain"
+
+
+def features(block: Leaf, index: int, total: int, stands: str, page_stands: str) -> list[str]:
+    path, n = set(block.path), len(block.text)
     share = block.link_chars / n
-    last = block.text[-1]
-    out = ["bias", f"tag={block.tag}", f"links={0 if share < 0.1 else 1 if share < 0.5 else 2 if share < 0.9 else 3}"]
-    out.append(f"size={min(5, len(block.text).bit_length() // 2)}")
-    out.append("stop" if last in ".!?…" else "nostop")
-    out += [f"in={t}" for t in path & BAD_PATH] + [f"in={t}" for t in path & GOOD_PATH]
-    out += [f"in={t}" for t in path & {"li", "td", "blockquote", "section", "figure", "pre"}]
+    links = 0 if share < 0.1 else 1 if share < 0.5 else 2 if share < 0.9 else 3
+    size = min(5, n.bit_length() // 2)
+    out = ["bias", f"links={links}", f"size={size}", f"tag={block.tag}", f"stands={stands}"]
+    out += [f"{stands}:{block.tag}", f"{page_stands}:{stands}", f"{stands}:links={links}", f"{stands}:size={size}"]
+    out.append("stop" if block.text[-1] in ".!?…。！？" else "nostop")
+    where = "@article" if path & GOOD_PATH else ""
+    out += [f"in={t}{where}" for t in path & BAD_PATH] + [f"in={t}" for t in path & GOOD_PATH]
+    out += [f"in={t}" for t in path & HOLDERS]
     out += [f"in={t}" for t in block.embedded]
-    good, bad = names & GOOD_NAMES, names & BAD_NAMES
-    out += [f"name={w}" for w in good | bad]
-    if bad or path & BAD_PATH:
-        out.append("bad")
-    elif good or path & GOOD_PATH:
-        out.append("good")
-    else:
-        out.append("plain")
+    for tag, names in zip(block.path, block.names):
+        if tag not in ("html", "body"):
+            out += [f"name={w}" for w in names & (GOOD_NAMES | BAD_NAMES)]
     if block.controls:
         out.append("control")
-    if "©" in block.text[:200]:
-        out.append("copyright")
+    low = block.text.lower()
+    if "©" in low or "copyright" in low or "all rights reserved" in low:
+        out += ["copyright", f"copyright:{min(size, 3)}"]
     if index == 0:
         out.append("first")
     if index == total - 1:
         out.append("last")
-    return out
+    return list(dict.fromkeys(out))
 
 
 class Field:
@@ -106,7 +124,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 100, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """A field fitted to pages of (features, label) blocks, by Adam on the conditional likelihood."""
     pages = [p for p in pages if p[0]]
     names = {x: i for i, x in enumerate(sorted({x for p, _ in pages for f in p for x in f}))}
@@ -158,7 +176,9 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate:
 
 
 def page_features(blocks: list[Leaf]) -> list[list[str]]:
-    return [features(b, i, len(blocks)) for i, b in enumerate(blocks)]
+    stands = [standing(b) for b in blocks]
+    page = "marked" if any("good" in x for x in stands) else "unmarked"
+    return [features(b, i, len(blocks), x, page) for i, (b, x) in enumerate(zip(blocks, stands))]
 
 
 def extract(page: str | None, model: Field) -> str:
@@ -169,21 +189,37 @@ def extract(page: str | None, model: Field) -> str:
 
 # Labelled pages
 
+#: Syllables of invented words.
+_SYLLABLES = ("an re th on er ing ed ti sh ou le mo ka bri ve so lu".split(), "zu ber ge lich ung ä ö ein sch tz".split(), "가 나 다라 마바 사 하".split())
+
+
+def _words(r: random.Random, n: int) -> list[str]:
+    parts = r.choice(_SYLLABLES) if r.random() < 0.3 else _SYLLABLES[0]
+    return ["".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(n)]
+
+
+def _phrase(r: random.Random, least: int, most: int) -> str:
+    line = " ".join(_words(r, r.randint(least, most)))
+    return line[:1].upper() + line[1:]
+
 
-def _text(r: random.Random, least: int, most: int, stop: bool = True) -> str:
-    parts = "an re th on er ing ed ti sh ou le mo ka bri ve so lu".split()
-    words = ["".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(r.randint(least, most))]
+def _prose(r: random.Random, least: int, most: int) -> str:
+    """Sentences, some of them without an end, in capitals or with marks in them."""
+    out = []
+    left = r.randint(least, most)
+    while left > 0:
+        n = min(left, r.randint(2, 25))
+        out.append(_phrase(r, n, n) + r.choice([".", ".", ".", "!", "?", "…", ": ", ", ok."]))
+        left -= n
+    text = " ".join(out)
     kind = r.random()
-    if kind < 0.06:
-        words = [w.upper() + "!!" for w in words]
-    elif kind < 0.12:
-        words = [w + r.choice(["***", "%%%", "&&&", "$$$", "###"]) for w in words]
-    elif kind < 0.15:
-        words = words[:1] * len(words)
-    elif kind < 0.18:
-        words = [x for w in words for x in (w, "|")][:-1]
-    line = " ".join(words)
-    return (line[:1].upper() + line[1:] + ("." if stop and kind >= 0.18 else "")) or "a"
+    if kind < 0.15:
+        text = text.rstrip(".!?… ")
+    elif kind < 0.2:
+        text = text.upper()
+    elif kind < 0.25:
+        text = text.replace(" ", r.choice([" * ", " | ", " # ", "-"]))
+    return text
 
 
 def _escape(s: str) -> str:
@@ -199,122 +235,264 @@ class _Page:
     def raw(self, s: str) -> None:
         self.html.append(s)
 
-    def block(self, tag: str, text: str, label: int, attributes: str = "", inner: str | None = None) -> None:
-        self.html.append(f"<{tag}{attributes}>{_escape(text) if inner is None else inner}</{tag}>")
+    def block(self, tag: str, text: str, label: int, inner: str | None = None) -> None:
+        """tag may carry attributes; an end tag that HTML lets out is let out at times."""
+        name = tag.split()[0]
+        end = "" if name in ("p", "li", "td", "dd", "dt") and self.r.random() < 0.06 else f"</{name}>"
+        self.html.append(f"<{tag}>{_escape(text) if inner is None else inner}{end}")
         self.labels.append(label)
 
     def link(self, tag: str, text: str, label: int) -> None:
         self.block(tag, text, label, inner=f'<a href="/{self.r.randint(1, 99)}">{_escape(text)}</a>')
 
+    def links(self, n: int, most: int = 3) -> None:
+        self.raw(self.r.choice(["<ul>", "<ol>", '<ul class="list">']))
+        for _ in range(n):
+            self.link("li", _phrase(self.r, 1, most), 0)
+        self.raw("</ul>" if self.html[-1].startswith("<li") and "<ol>" not in self.html[-n - 1] else "</ol>")
+
+    def inside(self, opening: str, *parts) -> None:
+        self.raw(f"<{opening}>")
+        for part in parts:
+            part()
+        self.raw(f"</{opening.split()[0]}>")
+
 
 def _menu(p: _Page) -> None:
     r = p.r
-    a, b = r.choice([("<nav><ul>", "</ul></nav>"), ('<div class="menu"><ul>', "</ul></div>"), ('<ul id="navigation">', "</ul>"), ('<header><nav class="navbar"><ul>', "</ul></nav></header>")])
-    p.raw(a)
-    for _ in range(r.randint(2, 8)):
-        p.link("li", _text(r, 1, 3, False), 0)
-    p.raw(b)
+    holder = r.choice(["nav", "nav", 'div class="menu"', 'div id="navigation"', 'div class="navbar navbar-top"', "header", "div", 'div id="topbar"', 'nav class="main-nav"', "menu"])
+    p.inside(holder, lambda: p.links(r.randint(2, 9)))
 
 
-def _aside(p: _Page) -> None:
+def _top(p: _Page) -> None:
     r = p.r
-    kind = r.randrange(9)
-    if kind == 0:
-        p.block("div", _text(r, 3, 40), 0, r.choice([' class="ad"', ' class="advert"', ' id="banner-ad"', ' class="sponsored"']))
-    elif kind == 1:
-        p.block("div", _text(r, 4, 30), 0, r.choice([' class="cookie-notice"', ' id="consent"', ' class="notice"', ' role="alert"']))
-    elif kind == 2:
-        p.raw(r.choice(['<aside>', '<div class="sidebar">', '<aside class="widget">']))
-        closing = "</aside>" if "aside" in p.html[-1][:7] else "</div>"
-        p.block("h3", _text(r, 1, 4, False), 0)
-        for _ in range(r.randint(1, 4)):
-            p.link("li", _text(r, 2, 8, False), 0) if r.random() < 0.6 else p.block("p", _text(r, 4, 30), 0)
-        p.raw(closing)
-    elif kind == 3:
-        p.raw('<form action="/s">')
-        p.block("p", _text(r, 1, 8), 0)
+    holder = r.choice(["header", "header", 'div id="header"', 'div class="masthead"', 'header class="site-header"'])
+
+    def parts() -> None:
+        p.link(r.choice(["h1", "h2", "p", "div"]), _phrase(r, 1, 4), 0) if r.random() < 0.5 else p.block(r.choice(["h1", "h2", "div"]), _phrase(r, 1, 4), 0)
+        if r.random() < 0.6:
+            p.block("p", _prose(r, 2, 14), 0)
+        if r.random() < 0.4:
+            p.inside("nav", lambda: p.links(r.randint(2, 6)))
+
+    p.inside(holder, parts)
+
+
+def _crumbs(p: _Page) -> None:
+    p.inside(p.r.choice(['div class="breadcrumb"', 'nav aria-label="breadcrumb"', 'div id="breadcrumbs"']), lambda: p.links(p.r.randint(1, 4)))
+
+
+def _advert(p: _Page) -> None:
+    r = p.r
+    p.block(r.choice(['div class="ad"', 'div class="advert"', 'div id="banner"', 'div class="sponsored"', 'section class="promo box"', 'div class="ads ads-top"', 'p class="advertisement"']), _prose(r, 2, 50), 0)
+
+
+def _notice(p: _Page) -> None:
+    r = p.r
+    holder = r.choice(['div class="cookie-notice"', 'div id="consent"', 'div class="notice"', 'div role="alert"', 'dialog', 'div id="gdpr-banner"', 'div class="popup modal"'])
+
+    def parts() -> None:
+        p.block("p", _prose(r, 3, 40), 0)
+        if r.random() < 0.5:
+            p.block("button", _phrase(r, 1, 2), 0)
+
+    p.block(holder, _prose(r, 3, 40), 0) if r.random() < 0.5 else p.inside(holder, parts)
+
+
+def _form(p: _Page) -> None:
+    r = p.r
+
+    def parts() -> None:
+        p.block(r.choice(["p", "div", "label", "h3"]) if r.random() < 0.9 else "legend", _prose(r, 1, 12), 0)
         p.raw('<input name="q">')
-        p.block("button", _text(r, 1, 2, False), 0)
-        p.raw("</form>")
-    elif kind == 4:
-        p.raw(r.choice(['<div class="comments">', '<section id="comments">', '<div class="reader-comments">']))
-        closing = "</section>" if "section" in p.html[-1] else "</div>"
-        p.block("h3", _text(r, 1, 3, False), 0)
-        for _ in range(r.randint(1, 4)):
-            p.raw('<div class="comment">')
-            p.block("p", _text(r, 3, 50), 0)
-            p.raw("</div>")
-        p.raw(closing)
-    elif kind == 5:
-        p.raw('<div class="related"><ul>')
-        for _ in range(r.randint(2, 5)):
-            p.link("li", _text(r, 3, 10, False), 0)
-        p.raw("</ul></div>")
-    elif kind == 6:
-        p.raw("<header>")
-        p.block("div", _text(r, 1, 5, False), 0)
-        p.block("p", _text(r, 2, 12), 0)
-        p.raw("</header>")
-    elif kind == 7:
-        p.raw(f"<!-- ad {r.randint(1, 99)} --><script>var t='</p>';</script><style>p{{margin:0}}</style>")
+        p.block("button", _phrase(r, 1, 2), 0)
+
+    p.inside(r.choice(['form action="/s"', 'form class="search"', 'div class="newsletter"', 'form id="subscribe"']), parts)
+
+
+def _aside(p: _Page) -> None:
+    r = p.r
+    holder = r.choice(["aside", 'div class="sidebar"', 'aside class="widget"', 'div id="sidebar-right"', 'div class="widget widget-text"'])
+
+    def parts() -> None:
+        for _ in range(r.randint(1, 3)):
+            p.block(r.choice(["h3", "h2", "h4"]), _phrase(r, 1, 4), 0)
+            if r.random() < 0.5:
+                p.links(r.randint(1, 5), 8)
+            else:
+                p.block("p", _prose(r, 4, 60), 0)
+
+    p.inside(holder, parts)
+
+
+def _related(p: _Page) -> None:
+    r = p.r
+
+    def parts() -> None:
+        if r.random() < 0.6:
+            p.block(r.choice(["h2", "h3", "h4"]), _phrase(r, 1, 4), 0)
+        p.links(r.randint(2, 6), 10)
+
+    p.inside(r.choice(['div class="related"', 'section class="related-posts"', 'aside', 'div id="related-links"', 'div class="promoted"']), parts)
+
+
+def _sharing(p: _Page) -> None:
+    r = p.r
+    p.inside(r.choice(['div class="share"', 'div class="social-links"', 'ul class="sharing"', 'div class="tags"']), lambda: [p.link("li", _phrase(r, 1, 2), 0) for _ in range(r.randint(1, 4))])
+
+
+def _comments(p: _Page) -> None:
+    r = p.r
+    holder = r.choice(['div class="comments"', 'section id="comments"', 'section class="reader-comments"', 'div id="disqus-thread"', 'div class="responses"', 'ol class="commentlist"'])
+    each = r.choice(['div class="comment"', 'article class="comment"', 'li class="comment"', 'div class="comment-body"', "div", "li"])
+
+    def one() -> None:
+        if r.random() < 0.4:
+            p.block(r.choice(["h4", 'span class="author"', "div", "p"]) if r.random() < 0.9 else "cite", _phrase(r, 1, 3), 0) if r.random() < 0.8 else p.link("p", _phrase(r, 1, 2), 0)
+        for _ in range(r.randint(1, 2)):
+            p.block("p", _prose(r, 2, 90), 0)
+        if r.random() < 0.3:
+            p.link("p", _phrase(r, 1, 2), 0)
+
+    def parts() -> None:
+        if r.random() < 0.7:
+            p.block(r.choice(["h2", "h3", "h4"]), _phrase(r, 1, 3), 0)
+        for _ in range(r.randint(1, 5)):
+            p.inside(each, one)
+        if r.random() < 0.3:
+            _form(p)
+
+    p.inside(holder, parts)
+
+
+def _more(p: _Page) -> None:
+    p.link(p.r.choice(["p", "div"]), _phrase(p.r, 1, 8), 0)
+
+
+def _code(p: _Page) -> None:
+    p.raw(p.r.choice(["<script>if (a<b) document.write('<p>x</p>')</script>", "<style>.x{color:red}</style>", "<!-- <div>old</div> -->", '<script type="application/json">{"a": "<p>"}</script>', "<noscript></noscript>"]))
+
+
+def _bottom(p: _Page) -> None:
+    r = p.r
+    sign = lambda: r.choice(["© ", "Copyright 20", "© 2019 ", ""]) + _phrase(r, 1, 12) + r.choice(["", ".", ". All rights reserved."])
+    kind = r.random()
+    if kind < 0.3:
+        p.block(r.choice(["footer", "footer", 'div class="footer"', 'div id="copyright"']), sign(), 0)
+    elif kind < 0.5:
+        p.block(r.choice(["p", "div"]) if r.random() < 0.9 else "center", r.choice(["© ", "Copyright "]) + _phrase(r, 1, 12), 0)
     else:
-        p.link("p", _text(r, 2, 8, False), 0)
 
+        def parts() -> None:
+            if r.random() < 0.6:
+                p.links(r.randint(1, 6))
+            if r.random() < 0.5:
+                p.block("address", _phrase(r, 2, 9), 0)
+            p.block("p", sign() if r.random() < 0.7 else _prose(r, 3, 40), 0)
 
-def _story(p: _Page, plain: bool) -> None:
+        p.inside(r.choice(["footer", 'footer class="site-footer"', 'div id="footer"']), parts)
+
+
+def _paragraph(p: _Page) -> None:
+    r = p.r
+    text = _prose(r, 1, 5) if r.random() < 0.25 else _prose(r, 4, 130)
+    kind = r.random()
+    if kind < 0.15:
+        p.block("p", text, 1, inner=f'{_escape(text)} <a href="/x">{_phrase(r, 1, 5)}</a> <em>{_phrase(r, 1, 3)}</em>.')
+    elif kind < 0.2:
+        p.block("p", text, 1, inner=f"<b>{_escape(text)}<br>")
+    elif kind < 0.25:
+        p.block("div", text, 1)
+    else:
+        p.block("p", text, 1)
+
+
+def _part(p: _Page, deep: int = 0) -> None:
+    r = p.r
+    kind = r.random()
+    if kind < 0.09:
+        p.block(r.choice(["h2", "h3", "h4"]), _phrase(r, 1, 7), 1)
+    elif kind < 0.15:
+        p.inside(r.choice(["ul", "ol"]), lambda: [p.block("li", _prose(r, 1, 25), 1) for _ in range(r.randint(1, 5))])
+    elif kind < 0.19:
+        p.inside("blockquote", lambda: p.block("p", _prose(r, 5, 50), 1)) if r.random() < 0.6 else p.block("blockquote", _prose(r, 3, 40), 1)
+    elif kind < 0.21:
+        p.block("pre", " ".join(_words(r, r.randint(2, 30))), 1)
+    elif kind < 0.24:
+        p.inside("table", lambda: [p.inside("tr", lambda: [p.block(r.choice(["td", "th"]), _phrase(r, 1, 6), 1) for _ in range(2)]) for _ in range(r.randint(1, 3))])
+    elif kind < 0.27:
+        p.inside("figure", lambda: p.block("figcaption", _prose(r, 3, 20), 1))
+    elif kind < 0.29:
+        p.inside("dl", lambda: [(p.block("dt", _phrase(r, 1, 3), 1), p.block("dd", _prose(r, 3, 20), 1)) for _ in range(r.randint(1, 3))])
+    elif kind < 0.33 and not deep:
+        p.inside(r.choice(["section", "div", 'div class="text"', 'div class="row comment-free"', 'section class="ads-free"']), lambda: [_part(p, 1) for _ in range(r.randint(1, 4))])
+    else:
+        _paragraph(p)
+
+
+def _story(p: _Page, marked: bool) -> None:
+    """The article; what stands between its parts is only told apart where names or links tell."""
+    r = p.r
+    if r.random() < 0.75:
+        title = lambda: p.block(r.choice(["h1", "h1", "h2"]), _phrase(r, 1, 12), 1)
+        p.inside("header", title) if marked and r.random() < 0.12 else title()
+    for _ in range(1 if r.random() < 0.2 else r.randint(1, 11)):
+        _part(p)
+        if r.random() < 0.04:
+            r.choice([_advert, _related, _form, _sharing])(p)
+
+
+_ARTICLES = ["article", "article", "article", "main", 'div class="content"', 'div id="post-body"', 'div id="main-content"', 'div class="entry-content"', 'div class="story"',
+             'article class="post type-post comments-open"', 'div itemprop="articleBody"', 'div id="content" class="has-sidebar"']
+
+
+def _layout(p: _Page) -> None:
     r = p.r
-    title = _text(r, 2, 10, False)
-    p.block("h1", title, 1)
-    for _ in range(r.randint(1, 12)):
-        kind = r.random()
-        if kind < 0.06:
-            p.block("h2", _text(r, 1, 6, False), 1)
-        elif kind < 0.12:
-            p.raw("<ul>")
-            for _ in range(r.randint(1, 4)):
-                p.block("li", _text(r, 2, 15), 1)
-            p.raw("</ul>")
-        elif kind < 0.17:
-            p.raw("<blockquote>")
-            p.block("p", _text(r, 5, 40), 1)
-            p.raw("</blockquote>")
-        elif kind < 0.22:
-            text = _text(r, 10, 40)
-            p.block("p", text, 1, inner=f'{_escape(text)} <a href="/x">{_text(r, 1, 3, False).replace("&", "").replace("|", "x")}</a>')
-        elif kind < 0.4:
-            p.block("p", _text(r, 1, 4), 1)
-        elif kind < 0.5:
-            text = _text(r, 5, 60)
-            p.raw(f"<p><b>{_escape(text)}<br>")
-            p.labels.append(1)
+    if r.random() < 0.05:  # nothing but text
+        _paragraph(p)
+        return
+    before = [_menu, _top, _crumbs, _advert, _notice, _form, _aside, _more, _code, _code]
+    after = [_aside, _related, _comments, _comments, _advert, _notice, _form, _sharing, _more, _code]
+    for part in r.choices(before, k=r.choice([0, 0, 1, 1, 2, 3, 4])):
+        part(p)
+    kind = r.random()
+    tail = r.random() < 0.2
+    if kind < 0.68:
+        end = lambda: [r.choice([_sharing, _comments, _related])(p)] if tail else None
+        body = lambda: _story(p, True)
+        holder = r.choice(_ARTICLES)
+        if r.random() < 0.2:
+            p.inside(r.choice(["main", 'div class="main"', 'div class="wrap no-sidebar"']), lambda: p.inside(holder, body, end))
         else:
-            p.block("p", _text(r, 5, 120), 1)
+            p.inside(holder, body, end)
+    elif kind < 0.8:
+        p.inside(r.choice(["div", "section", 'div class="wrap"', 'div class="col-8"', 'div id="page"']), lambda: _story(p, False))
+    elif kind < 0.87:
+        p.raw("<table><tr><td>")
+        p.links(r.randint(2, 6))
+        p.raw("</td><td>")
+        _story(p, False)
+        p.raw("</td></tr></table>")
+    elif kind < 0.97:
+        _story(p, False)
+    for part in r.choices(after, k=r.choice([0, 0, 1, 1, 2, 3])):
+        part(p)
+    if r.random() < 0.7:
+        _bottom(p)
 
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, list[int]]]:
-    """n pages of mixed layouts with the label of each leaf block."""
+    """n pages of mixed layouts with the label of each leaf block; those of more than 80 blocks are made anew."""
     r = random.Random(seed)
-    out = []
-    for _ in range(n):
+    out: list[tuple[str, list[int]]] = []
+    while len(out) < n:
         p = _Page(r)
-        p.raw('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>t</title><style>p{}</style></head><body>')
-        for part in r.choices([_menu, _aside], k=r.randint(0, 4)):
-            part(p)
-        a, b = r.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post-body">', "</div>"), ('<main><article class="entry">', "</article></main>"), ("<div>", "</div>")])
-        if r.random() < 0.97:
-            p.raw(a)
-            _story(p, a == "<div>")
-            if r.random() < 0.15:
-                p.block("div", _text(r, 2, 12), 0, r.choice([' class="ad"', ' class="share"', ' class="tags"']))
-            p.raw(b)
-        for _ in range(r.randint(0, 3)):
-            _aside(p)
-        if r.random() < 0.9:
-            text = f"© {_text(r, 1, 25)}" if r.random() < 0.6 else _text(r, 1, 25)
-            p.block("footer" if r.random() < 0.8 else "div", text, 0, "" if p.r.random() < 0.8 else ' class="footer"') if r.random() < 0.8 else p.block("div", text, 0, ' class="footer"')
-        p.raw("</body></html>" if r.random() < 0.9 else "")
+        if r.random() < 0.8:
+            p.raw(r.choice(["<!DOCTYPE html>", ""]) + "<html><head><title>t</title></head>" + r.choice(["<body>", '<body class="page has-sidebar">', '<body id="content-page">']))
+        _layout(p)
+        p.raw("</body></html>" if r.random() < 0.7 else "")
         page = "".join(p.html)
-        if len(leaves(page)) == len(p.labels):
+        if len(p.labels) <= 80 and len(leaves(page)) == len(p.labels):
             out.append((page, p.labels))
     return out
 
