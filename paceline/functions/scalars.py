@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z95 = 1.96
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, where body uses it so often that its code would be inlined many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def norm(c: Column) -> Column:
     """Trimmed text; nulls and the words none and nan are empty."""
     t = F.trim(F.coalesce(c.cast("string"), F.lit("")))
