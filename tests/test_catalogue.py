@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from paceline.plans import catalogue
+from paceline.plans import audits, catalogue, extraction  # noqa: F401  (the others register their queries)
 from paceline.session import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -27,7 +27,9 @@ def plain(frame: pd.DataFrame) -> list[str]:
     def cell(x):
         if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
             return None
-        return round(float(x), 6) if isinstance(x, float) else str(x)
+        if isinstance(x, float):
+            return str(int(x)) if x.is_integer() else round(float(x), 6)  # whole numbers beside nulls come as floats
+        return str(x)
 
     return sorted(str([cell(x) for x in r]) for r in frame.itertuples(index=False))
 
