@@ -87,7 +87,7 @@ def anon_key(c: Column, salt: str) -> Column:
 
 
 def slug(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-")
+    t = F.regexp_replace(F.lower(F.trim(c)), "[^\\p{L}\\p{N}]+", "-")
     return F.regexp_replace(t, "^-+|-+$", "")
 
 
@@ -126,3 +126,9 @@ def round_class(text: Column) -> Column:
         .when(t.rlike("final[ _-]?b"), "final_b").when(t.contains("final"), "final").when(t.contains("heat"), "heat")
         .otherwise("other")
     )
+
+
+def padded(n: Column) -> Column:
+    """At least four digits, sortable as text up to 9,999; larger numbers keep all their digits."""
+    text = F.when(n > 0, n.cast("string")).otherwise("0")
+    return F.call_function("lpad", text, F.greatest(F.lit(4), F.length(text)), F.lit("0"))

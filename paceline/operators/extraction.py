@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paceline.functions import domain as D
-from paceline.functions.scalars import first_int, norm, parse_seconds, season_start
+from paceline.functions.scalars import first_int, norm, padded, parse_seconds, season_start
 from paceline.storage import cut
 
 RAW = (
@@ -165,12 +165,6 @@ def day_of(date: Column, season: Column) -> Column:
     return F.coalesce(F.date_format(date_in(date), "yyyyMMdd"), F.concat(season.cast("string"), F.lit("0101")), F.lit("00000000"))
 
 
-def padded(n: Column) -> Column:
-    """At least four digits, sortable as text up to 9,999; larger numbers keep all their digits."""
-    text = F.when(n > 0, n.cast("string")).otherwise("0")
-    return F.call_function("lpad", text, F.greatest(F.lit(4), F.length(text)), F.lit("0"))
-
-
 def ledger(rows: DataFrame, policy: Policy) -> DataFrame:
     """A row for each ranked participant, with race sequence and ordering keys; athletes who did not finish come after
     the last rank by time and identifier."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paceline.functions.scalars import padded
+
 
 def reranked(rows: DataFrame) -> DataFrame:
     """Ranks for all who took part: finishers by place, penalised after the last place in athlete order, and those who
@@ -21,9 +23,9 @@ def reranked(rows: DataFrame) -> DataFrame:
 
 def with_ordering_keys(rows: DataFrame) -> DataFrame:
     """race_ordering_key date|meet|0001|race and ordering_key with |rank|athlete added, both sortable as text."""
-    race = F.concat_ws("|", F.date_format("date", "yyyyMMdd"), F.col("meet").cast("string"), F.lpad(F.col("seq").cast("string"), 4, "0"), F.col("race").cast("string"))
+    race = F.concat_ws("|", F.date_format("date", "yyyyMMdd"), F.col("meet").cast("string"), padded(F.col("seq")), F.col("race").cast("string"))
     keyed = rows.withColumn("race_ordering_key", race)
-    return keyed.withColumn("ordering_key", F.concat_ws("|", "race_ordering_key", F.lpad(F.col("rank").cast("string"), 4, "0"), F.col("athlete").cast("string")))
+    return keyed.withColumn("ordering_key", F.concat_ws("|", "race_ordering_key", padded(F.col("rank")), F.col("athlete").cast("string")))
 
 
 def pairs(rows: DataFrame, weight: bool = False) -> DataFrame:

@@ -137,7 +137,7 @@ def cohorts(facts: DataFrame, targets: tuple[int, ...] = (7, 10, 13)) -> DataFra
     ).drop("first_known")
 
 
-def splits(sex: str, grade: str, band: Column) -> Column:
+def segments_of(sex: str, grade: str, band: Column) -> Column:
     """The segments that a row counts in: all, its sex, its grade, its band."""
     part = lambda k, v: F.struct(F.lit(k).alias("split"), v.cast("string").alias("value"))
     return F.explode(F.array(part("all", F.lit("all")), part("sex", F.col(sex)), part("grade", F.col(grade)), part("band", band)))
@@ -148,7 +148,7 @@ def grade_retention(facts: DataFrame) -> DataFrame:
     base = facts.select("athlete", "grade", "sex", "season").distinct()
     after = base.select("athlete", (F.col("grade") - 1).alias("grade")).distinct().withColumn("stayed", F.lit(1))
     band = F.floor(F.col("season") / 4) * 4
-    marked = base.join(after, ["athlete", "grade"], "left").select("stayed", splits("sex", "grade", band).alias("s"))
+    marked = base.join(after, ["athlete", "grade"], "left").select("stayed", segments_of("sex", "grade", band).alias("s"))
     out = marked.groupBy("s.split", "s.value").agg(F.count("*").alias("n_base"), F.count("stayed").alias("n_stayed"))
     low, high = wilson(F.col("n_stayed"), F.col("n_base"))
     return out.select("split", "value", "n_base", "n_stayed", ratio_pct(F.col("n_stayed"), F.col("n_base")).alias("pct"), low.alias("low"), high.alias("high"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import hashlib
 import json
 import math
@@ -9,6 +11,7 @@ import os
 import random
 import tempfile
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 Z = 1.959963984540054
@@ -34,8 +37,10 @@ class Entrant:
 def simulate_heat(entrants: list[Entrant], advance: int, beta: float, penalty: float = 0.0, seed: int = 0, least: int = 2_000, most: int = 50_000, width: float = 0.02) -> dict[str, tuple[float, float, float]]:
     """Share of draws in which each athlete is among the first ``advance``, with its interval. Draws stop when every
     interval is narrow enough."""
-    if not 1 <= advance <= len(entrants) or len({e.athlete for e in entrants}) != len(entrants):
-        raise ValueError("advance must be within the field, and athletes different")
+    if not 1 <= advance < len(entrants) or len({e.athlete for e in entrants}) != len(entrants):
+        raise ValueError("some must advance, but not all, and athletes must be different")
+    if not 0 <= penalty < 1 or beta <= 0 or any(e.sigma < 0 for e in entrants):
+        raise ValueError("penalty must be a share below 1, beta above 0 and no deviation below 0")
     r = random.Random(seed)
     hits = {e.athlete: 0 for e in entrants}
     spread = [(e.athlete, e.mu, math.hypot(e.sigma, beta)) for e in entrants]
@@ -56,10 +61,11 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def cache_key(entrants: list[Entrant], advance: int, beta: float) -> str:
-    """The same key for any order of entrants; ratings count to one decimal."""
-    field = sorted([e.athlete, round(e.mu, 1), round(e.sigma, 1)] for e in entrants)
-    return hashlib.sha256(canonical([field, advance, round(beta, 1)]).encode()).hexdigest()
+def cache_key(entrants: list[Entrant], advance: int, beta: float, penalty: float = 0.0, seed: int = 0, run: str = "", model: str = "heat-1") -> str:
+    """The same key for any order and names of entrants; ratings count to one decimal. Everything else that changes the
+    answer is in the key: the penalty rate, the seed, the run that the ratings are from and the model's version."""
+    field = sorted([round(e.mu, 1), round(e.sigma, 1)] for e in entrants)
+    return hashlib.sha256(canonical([field, advance, round(beta, 6), round(penalty, 6), seed, run, model]).encode()).hexdigest()
 
 
 class Registry:
@@ -84,7 +90,18 @@ class Registry:
             f.write(canonical(state))
         os.replace(name, self.path)
 
+    @contextlib.contextmanager
+    def _alone(self) -> Iterator[None]:
+        """Holds off other writers between reading the file and replacing it."""
+        with open(self.path + ".lock", "w") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            yield
+
     def begin(self, inputs: dict, parameters: dict) -> str:
+        with self._alone():
+            return self._begin(inputs, parameters)
+
+    def _begin(self, inputs: dict, parameters: dict) -> str:
         run = hashlib.sha256(canonical([inputs, parameters]).encode()).hexdigest()[:16]
         state = self._read()
         if state["runs"].get(run, {}).get("state") == "complete":
@@ -94,11 +111,12 @@ class Registry:
         return run
 
     def _move(self, run: str, to: str) -> None:
-        state = self._read()
-        if state["runs"].get(run, {}).get("state") != "running":
-            raise ValueError(f"{run} is not running")
-        state["runs"][run]["state"] = to
-        self._write(state)
+        with self._alone():
+            state = self._read()
+            if state["runs"].get(run, {}).get("state") != "running":
+                raise ValueError(f"{run} is not running")
+            state["runs"][run]["state"] = to
+            self._write(state)
 
     def complete(self, run: str) -> None:
         self._move(run, "complete")
@@ -107,11 +125,12 @@ class Registry:
         self._move(run, "failed")
 
     def publish(self, run: str) -> None:
-        state = self._read()
-        if state["runs"].get(run, {}).get("state") != "complete":
-            raise ValueError("only a complete run can be published")
-        state["published"] = run
-        self._write(state)
+        with self._alone():
+            state = self._read()
+            if state["runs"].get(run, {}).get("state") != "complete":
+                raise ValueError("only a complete run can be published")
+            state["published"] = run
+            self._write(state)
 
     def current(self) -> str | None:
         return self._read()["published"]

@@ -44,8 +44,36 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
 
 def write_by(df: DataFrame, path: str, partition: str, *order: str) -> None:
     """One directory for each value, rows in order, the old content replaced when the new one is whole."""
+    spark = df.sparkSession
     keyed = df.repartition(partition).sortWithinPartitions(partition, *order)
-    keyed.write.mode("overwrite").partitionBy(partition).parquet(path)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    whole, fresh, old = (jpath(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+    keyed.write.mode("overwrite").partitionBy(partition).parquet(fresh.toString())
+    fs = whole.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(whole):
+        fs.rename(whole, old)
+    fs.rename(fresh, whole)
+    fs.delete(old, True)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Text files with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON document for each row, keys with null values kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def first_csv(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The first of several text tables that exists, else an empty one of the schema."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.createDataFrame([], schema)
 
 
 def content_digest(df: DataFrame) -> str:

@@ -13,5 +13,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="paceline-"))
     return df.checkpoint(eager=True)

@@ -1,5 +1,6 @@
 import pytest
 from paceline.functions import domain as D
+from paceline.functions.scalars import padded
 from paceline.operators import extraction as X
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def test_sequences_fill_the_lowest_free_numbers(spark):
 
 def test_long_numbers_keep_their_digits(spark):
     df = spark.createDataFrame([(None,), (0,), (7,), (12345,)], "n long")
-    assert [r[0] for r in df.select(X.padded(F.col("n"))).collect()] == ["0000", "0000", "0007", "12345"]
+    assert [r[0] for r in df.select(padded(F.col("n"))).collect()] == ["0000", "0000", "0007", "12345"]
 
 
 def test_divisions_part_races(spark):

@@ -16,8 +16,11 @@ def test_two_entrants_closed_form():
 def test_cache_key_and_bounds():
     a, b = Entrant("a", 27.01, 2), Entrant("b", 24, 3)
     assert cache_key([a, b], 1, 4.17) == cache_key([b, Entrant("a", 27.0, 2)], 1, 4.17) != cache_key([a, b], 2, 4.17)
-    with pytest.raises(ValueError):
-        simulate_heat([a, b], 3, 1.0)
+    assert len({cache_key([a, b], 1, 4.17), cache_key([a, b], 1, 4.17, penalty=0.1), cache_key([a, b], 1, 4.17, seed=1), cache_key([a, b], 1, 4.17, run="r")}) == 4
+    assert cache_key([a, b], 1, 4.17) == cache_key([Entrant("x", 27.0, 2), b], 1, 4.17)
+    for advance, beta, penalty in ((3, 1.0, 0.0), (2, 1.0, 0.0), (1, 0.0, 0.0), (1, 1.0, 1.0)):
+        with pytest.raises(ValueError):
+            simulate_heat([a, b], advance, beta, penalty)
 
 
 def test_registry(tmp_path):
