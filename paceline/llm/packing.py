@@ -5,7 +5,7 @@ Documents are cut into full pieces and one remainder each. The histogram of rema
 the most room left, whose counts are updated. Patterns then become ranges of ranks, and pieces find their place
 by their rank among pieces of the same length.
 
-The number of patterns is bounded: placing one length turns whole patterns into others, splits at most one, and
+The number of patterns is bounded: placing one length turns whole patterns into others, divides at most one, and
 opens at most one, so there are at most 2 * length patterns and length slots in each.
 
 Nulls, empties and ties: a null or empty text is one document of the end id alone. Repeated rows are packed
