@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,6 +39,8 @@ def scratch(spark: SparkSession) -> str:
         known = jsc.getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="paceline-")
@@ -61,23 +61,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now; else they stay until the driver's next collection
-    of garbage. Removal runs beside the program, hence the short waits."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def forget(*tables: DataFrame) -> None:
-    """Removes the files of stored() tables that no later step reads, and lets go of old shuffle files."""
+    """Removes the files of stored() tables that no later step reads."""
     for df in tables:
         spark = df.sparkSession
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

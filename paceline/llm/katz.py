@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import block_rows, expand, in_blocks, partitions, release, scratch_path, squeeze
+from paceline.llm.common import block_rows, expand, in_blocks, partitions, scratch_path, squeeze
 from paceline.llm.grams import in_groups, mix, word_hashes
 
 K = 5
@@ -342,8 +342,6 @@ def train(docs: DataFrame, held_out: Callable[[int | None], bool]) -> tuple[Data
     tables = words.unionByName(bigram_answers(dealt, words, parts, share, held_out))
     path = scratch_path(spark, "katz")
     tables.write.partitionBy("level").option("compression", "none").parquet(path)
-    del words, tables
-    release(spark)
     stored = spark.read.schema(ANSWER).parquet(path)
     stats = stored.where("block < 0").groupBy("level").agg(
         F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v"),
