@@ -15,7 +15,8 @@ whole word sequence). Equal sets are one node. Two nodes link if 100 * |A and B|
 
 An n-gram of more than ``HOT`` sets is first linked by comparing all its sets with its most central one (the set
 of the commonest n-grams), and only sets of different components then walk its tree, in blocks of ``HOT`` sets
-against each other, so a large group of near copies is neither expanded into pairs nor met in one task. Where links
+against each other, those of the largest component only against others, so a large group of near copies is neither
+expanded into pairs nor met in one task. Where links
 are counted, every two sets of one such component are compared as well, whole and in blocks of ``HOT`` against each
 other, and only each set's number of links leaves the task.
 
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import block_rows, expand, forget, in_blocks, partitions, squeeze, stored
+from paceline.llm.common import block_rows, expand, forget, in_blocks, partitions, squeeze, stored, unused
 from paceline.llm.components import components
 from paceline.llm.grams import gram_hashes, in_groups, mix, word_hashes
 
@@ -258,19 +259,27 @@ def may_link(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).mapInPandas(run, "a long, b long")
 
 
-def walk_trees(rows: DataFrame, sets: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
+def walk_trees(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Distinct candidate pairs (a < b) of different components among the sets of each shared n-gram.
 
-    rows: gram, node, component. Hot n-grams are cut into blocks of about HOT sets, every two of which meet in a
-    task of their own.
+    rows: gram, node, component. The sets of an n-gram that more than HOT sets have are dealt into blocks of about HOT,
+    those of its largest component apart from the others; two blocks meet in a task of their own unless both are of
+    that component. So a large group that is one component costs a row for each set and block of others.
     """
-    cut = rows.join(hot.select("gram", F.ceil(F.col("n") / HOT).cast("int").alias("cuts")), "gram", "left")
-    cuts = F.coalesce("cuts", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), cuts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), cuts - 1))
-    met = cut.withColumn("own", own).withColumn("other", other).select(
-        "gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component"
+    by = rows.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    shape = by.groupBy("gram").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    big = F.col("n") > HOT
+    cuts = lambda n: F.greatest(F.ceil(n / HOT), F.lit(1)).cast("int")
+    shape = shape.select(
+        "gram", F.when(big, F.col("top.component")).alias("base"), F.when(big, cuts(F.col("n") - F.col("top.n"))).otherwise(1).alias("others"),
+        F.when(big, cuts(F.col("top.n"))).otherwise(0).alias("bases"),
     )
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    in_base = F.coalesce(F.col("component") == F.col("base"), F.lit(False))
+    own = F.when(in_base, F.col("others") + spread(F.col("bases"))).otherwise(spread(F.col("others")))
+    last = F.when(in_base, F.col("others")).otherwise(F.col("others") + F.col("bases")) - 1
+    placed = rows.join(shape, "gram").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    met = placed.select("gram", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component")
     full = met.join(sets.select("node", "n_grams", "rest", "shared"), "node")
     keys = ["gram", "low", "high"]
     sorted_ = full.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
@@ -403,7 +412,7 @@ def linked(docs: DataFrame, n: int, threshold: int, counted: bool = False) -> tu
     found = stored(found.select("gram", "node", "component"), "shared")
     apart = found.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     found = found.join(stored(apart.select("gram"), "apart"), "gram", "left_semi")
-    pairs = stored(walk_trees(found, sets, hot, threshold), "pairs")
+    pairs = stored(walk_trees(found, sets, threshold), "pairs")
     across = stored(confirm(pairs, sets, threshold), "links")
     links = links.union(across)
     label = components(links).select("node", F.col("component").alias("group"))
@@ -450,7 +459,8 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     grouped, _ = linked(docs, n, threshold)
     lead = grouped.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
     lead = lead.select("x.*").union(grouped.where("group is null").select("doc_id", "text_hash")).distinct()
-    lead = stored(lead.toDF("__id", "__h"), "leads")
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h"))
-    return keyed.join(lead, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    one, two, three = unused(docs.columns, "lead_id", "lead_hash", "own_hash")
+    lead = stored(lead.toDF(one, two), "leads")
+    keyed = docs.withColumn(three, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.col(three) == F.col(two))
+    return keyed.join(lead, same, "left_semi").dropDuplicates(["doc_id", three]).drop(three)

@@ -18,7 +18,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import SPACE, SPACE_CHARS, let
+from paceline.llm.common import SPACE, SPACE_CHARS, let, unused
 
 #: Characters that may end a sentence, separators of navigation lists, and boilerplate phrases.
 SENTENCE_END = ".!?…。！？:;\"'”’»)]"
@@ -149,7 +149,7 @@ def judge(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 
 def clean(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """The kept documents, all their columns, with failing lines taken out of text and n_chars recounted."""
-    m = next(x for x in (f"__m{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    (m,) = unused(docs.columns, "measured")
     marked = docs.withColumn(m, let(measures(F.col("text"), clean_text=True), lambda x: x))
     n, r = F.col(f"{m}.w.n_words"), F.col(f"{m}.w.n_repeat_words")
     lost = F.col(f"{m}.l.n_lost_chars") > F.lit(float(max_loss)) * F.col(f"{m}.l.n_line_chars")

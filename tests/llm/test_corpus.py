@@ -53,6 +53,12 @@ def test_join_odd_tables(spark):
     assert {r["doc_id"] for r in kept.where("trim(text) <> ''").collect()} >= {c for c in want if c is not None}
 
 
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "the same words in every row of this", 1, 2, 3), (2, "the same words in every row of this", 4, 5, 6), (3, None, 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lead_id long, OWN_hash long, lead_hash_ long")
+    assert sorted(tuple(r) for r in ngram_join.keep_one(df).collect()) == [rows[0], rows[2]]
+
+
 def near_copies(k):
     """k different near copies of one text, some of them near each other only through others."""
     r = random.Random(k)
@@ -209,3 +215,12 @@ def test_katz_equals_recursion_and_adds_up(spark, seed):
         assert r["base_score"] == pytest.approx(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
         assert r["score"] == pytest.approx(sum(math.log10(p2(h, w)) for h, w in zip([None, *t[:-1]], t)), rel=1e-9)
     assert katz.score(empty(spark), held).count() == 0
+
+
+def test_cut_characters_go_whole_and_others_stay(spark):
+    passage = "é" * 150 + "the passage that two texts share " * 5
+    df = spark.createDataFrame([(1, "keep \ufffd this " + passage), (2, "ab " + passage + "\ufffd and more")], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(df).collect()}
+    assert found == {1: "keep \ufffd this", 2: "ab\ufffd and more"}
+    df = spark.createDataFrame([(1, "x" + "ä" * 120 + "1"), (2, "y" + "ä" * 120 + "2")], "doc_id long, text string")
+    assert {r["text"] for r in suffix_dedup.without_repeats(df).collect()} == {"x1", "y2"}
