@@ -369,8 +369,17 @@ def removed_bytes(block: Block, flags: pd.DataFrame, repeats: pd.DataFrame, part
     return np.cumsum(change[:-1], dtype=np.int8) > 0
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and rest (all other columns, as a struct)."""
+def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, with the other bytes of every character of which a byte is gone."""
+    if not len(raw):
+        return gone
+    character = np.cumsum((raw & 0xC0) != 0x80)
+    return (np.bincount(character, weights=gone) > 0)[character]
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, characters: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; with characters, of those the ones in whole
+    characters) and rest (all other columns, as a struct)."""
     parts = PARTS * partitions(docs.sparkSession)
     dealt = in_blocks(docs, carry=True)
     twice = find_twice(dealt, parts, length)
@@ -394,6 +403,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         total, rises = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, rise))
         a, b = block.begin, block.begin + block.sizes
         raw = block.raw
+        if characters:
+            gone = whole_characters(raw, gone)
         kept = [raw[i:j][~gone[i:j]].tobytes() for i, j in zip(a.tolist(), b.tolist())]
         columns = [left["doc_id"], pa.array(block.sizes), pa.array(total[b] - total[a]), pa.array(rises[b] - rises[a]), pa.array(kept, pa.binary())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
@@ -412,10 +423,8 @@ def digests(found: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated passages taken out of text; documents that lose all their text go. A character cut in
     two loses its other bytes as well."""
-    found = dedup(docs, length).where("n_removed < n_bytes")
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.translate(text, "�", "")).otherwise(F.col("kept").cast("string"))
-    made = found.withColumn("text", text)
+    found = dedup(docs, length, characters=True).where("octet_length(kept) > 0")
+    made = found.withColumn("text", F.col("kept").cast("string"))
     out = [
         F.col(c) if c in ("doc_id", "text")
         else F.length("text").cast("long").alias(c) if c == "n_chars"
