@@ -8,6 +8,11 @@ Stages, in order, each on all that the one before it kept:
 4. packing: token ids of the remaining texts, packed into sequences of 1024.
 
 All but the last return the columns of documents.
+
+Nulls, empties and ties: null and empty texts, and texts of fewer than 50 words, are rejected by the first stage. Of
+equal or near documents the one of least doc_id stays (a null doc_id counts as the largest); rows of one doc_id and
+text are one document. A document whose whole text repeats elsewhere goes. Texts of any length are read whole. An empty
+table gives no rows. Other columns are carried up to packing, whatever their names.
 """
 
 from __future__ import annotations
