@@ -3,6 +3,10 @@
 Most words of a corpus repeat, and BPE never merges across the cuts made before it, so a text is cut at white
 space, each distinct piece is encoded once for as long as it stays in a bounded cache, and ids are gathered by
 position. Texts whose cuts depend on their neighbours are encoded whole by the library.
+
+An empty text has no ids. Equal pieces have equal ids wherever they stand, so repeats cost a look-up each. A text of any
+length is cut whole; texts are encoded in groups of some million characters, and a single one over that is its own
+group. Nulls are the callers' matter: every operator makes them empty before.
 """
 
 from __future__ import annotations
