@@ -96,7 +96,7 @@ class Block:
         self.raw = np.frombuffer(b"".join(data), np.uint8)
         found = [self._slice(a, b) for a, b in self._slices()]
         if found:
-            self.hash, self.first, self.count, self.place = (np.concatenate(x) for x in zip(*found))
+            self.hash, self.first, self.count, self.place = self._joined(*(np.concatenate(x) for x in zip(*found)))
         else:
             self.hash, (self.first, self.count, self.place) = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 3
 
@@ -107,6 +107,15 @@ class Block:
             yield at, min(len(self.raw), at + SLICE + self.length - 1)
             at += SLICE
 
+    def _joined(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray):
+        """Runs cut by a slice's end made whole again. Where slices end depends on the order of the block's texts, which
+        differs from one reading of a shuffle to the next; whole runs are the same in any order."""
+        goes_on = (place[1:] == place[:-1]) & (first[1:] == first[:-1] + count[:-1])
+        goes_on &= np.searchsorted(self.begin, first[1:], side="right") == np.searchsorted(self.begin, first[:-1], side="right")
+        new = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(first) else np.zeros(0, np.int64)
+        total = np.add.reduceat(count, new) if len(new) else count
+        return hashes[new], first[new], total, place[new]
+
     def _slice(self, a: int, b: int):
         anchor, h = anchors_in(self.raw[a:b], self.length)
         start = np.arange(a, a + len(anchor))

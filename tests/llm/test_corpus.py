@@ -224,3 +224,15 @@ def test_cut_characters_go_whole_and_others_stay(spark):
     assert found == {1: "keep \ufffd this", 2: "ab\ufffd and more"}
     df = spark.createDataFrame([(1, "x" + "ä" * 120 + "1"), (2, "y" + "ä" * 120 + "2")], "doc_id long, text string")
     assert {r["text"] for r in suffix_dedup.without_repeats(df).collect()} == {"x1", "y2"}
+
+
+def test_suffix_dedup_runs_do_not_depend_on_the_order_of_texts():
+    r = random.Random(5)
+    values = ["".join(r.choices("abc ", k=r.randint(150, 2500))) for _ in range(500)]  # several slices
+    found = []
+    for order in (values, values[::-1], sorted(values)):
+        block = suffix_dedup.Block(order, 200)
+        assert len(block.raw) > 2 * suffix_dedup.SLICE
+        different, count, _ = block.strings(np.arange(len(block.hash)))
+        found.append((different, count.tolist(), [x.tolist() for x in block.keys()]))
+    assert found[0] == found[1] == found[2]
