@@ -18,7 +18,8 @@ string came twice.
 
 Blocks of documents send the hashes of their anchors, are told which came twice, send the surroundings of those
 (each different one once), and are told which starts are repeated. What meets in one task is what differs around
-one anchor: copies, however many, are one string for each block.
+one anchor: copies, however many, are one string for each block. An anchor found very often is hot: its starts are
+cut into stretches, and surroundings meet only with those that agree in all bytes common to a stretch's windows.
 
 Nulls, empties and ties: null and empty texts have no bytes and lose none, nor do texts shorter than length.
 Repeated rows and copies of length bytes or more are repeats of each other and lose everything. An empty table
@@ -27,6 +28,8 @@ gives no rows. ``dedup`` carries all other columns.
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.llm.common import block_table, expand, in_blocks, partitions, squeeze
+from paceline.llm.common import block_table, expand, in_blocks, squeeze
 from paceline.llm.grams import _VALUE, mix
 
 LENGTH = 200
 GRAM = 32
 KEY_BYTES = 7
-#: Parts of the key space for each shuffle partition.
-PARTS = 4
+#: Bytes of text for each part of the key space: blocks times parts is the number of messages.
+PART_BYTES = 8_000_000
+#: Runs (in one block at most 255) from which an anchor is hot, and into how many stretches its starts are then cut.
+HOT = 16_000
+STRETCHES = 8
 #: Bytes whose anchors are found at once.
 SLICE = 1 << 18
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -126,18 +132,47 @@ class Block:
             return np.zeros(0, np.uint64), start, start, start
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])]))
         count = np.diff(np.append(new, len(start)))
-        return h[anchor[new]], start[new], count, anchor[new] + a
+        # least hashes are small ones, so they are mixed again, or the first parts of the key space would have them all
+        return mix(h[anchor[new]]), start[new], count, anchor[new] + a
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.hash >> np.uint64(64 - 8 * KEY_BYTES), return_counts=True)
 
-    def strings(self, chosen: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-        """The different surroundings among the chosen runs, sorted: (hash, first column, starts, bytes); how many
-        runs have each; and the row of each chosen run."""
+    def choose(self, chosen: np.ndarray, hot: np.ndarray) -> None:
+        """Keeps the chosen runs only, and cuts those of hot anchors into stretches of starts. All windows of a stretch
+        share more bytes than the anchor, which give the stretch its hash: so the surroundings of a hot anchor go to
+        as many collections as they differ in those bytes, and equal windows still meet."""
+        self.hash, self.first, self.count, self.place = (x[chosen] for x in (self.hash, self.first, self.count, self.place))
+        hot = hot[chosen]
+        if not hot.any():
+            return
+        starts = self.length - GRAM + 1
+        wide = -(-starts // STRETCHES)
+        low = self.first - self.place + starts - 1  # 0 is the start furthest left of the anchor
+        pieces = np.where(hot, (low + self.count - 1) // wide - low // wide + 1, 1)
+        run = np.repeat(np.arange(len(hot)), pieces)
+        stretch = low[run] // wide + np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        a = np.where(hot[run], np.maximum(low[run], stretch * wide), low[run])
+        b = np.where(hot[run], np.minimum(low[run] + self.count[run], (stretch + 1) * wide), low[run] + self.count[run])
+        self.hash, self.place = self.hash[run], self.place[run]
+        self.first, self.count = self.place + a - starts + 1, b - a
+        cut = np.flatnonzero(hot[run])
+        from_, to = np.minimum((stretch[cut] + 1) * wide, starts) - 1, stretch[cut] * wide + self.length
+        begin = self.place[cut] - starts + 1
+        raw = self.raw.tobytes()
+        fresh = [
+            hashlib.blake2b(raw[i:j], digest_size=8, key=b"%d,%d" % (h, k)).digest()
+            for i, j, h, k in zip((begin + from_).tolist(), (begin + to).tolist(), self.hash[cut].tolist(), stretch[cut].tolist())
+        ]
+        self.hash[cut] = np.frombuffer(b"".join(fresh), "<u8")
+
+    def strings(self) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """The different surroundings among the runs, sorted: (hash, first column, starts, bytes); how many runs have
+        each; and the row of each run."""
         raw = self.raw.tobytes()
         rows = [
             (h, f - p, c, raw[f : f + c - 1 + self.length])
-            for h, f, c, p in zip(*(x[chosen].tolist() for x in (self.hash, self.first, self.count, self.place)))
+            for h, f, c, p in zip(*(x.tolist() for x in (self.hash, self.first, self.count, self.place)))
         ]
         different = sorted(set(rows))
         index = {r: i for i, r in enumerate(different)}
@@ -162,11 +197,11 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
 
 
-def repeated_starts(hashes: np.ndarray, columns: np.ndarray, starts: np.ndarray, data: list[bytes], twice: np.ndarray, length: int) -> np.ndarray:
+def repeated_starts(hashes: np.ndarray, columns: np.ndarray, starts: np.ndarray, data: list[bytes], twice: np.ndarray, length: int, skip: int = 0) -> np.ndarray:
     """Whether each start of each string is repeated; flags of all strings one after another.
 
     Strings of one hash are one collection; columns holds the column of each string's first byte, relative to the
-    anchor. twice: strings that came more than once.
+    anchor. twice: strings that came more than once. skip: bytes before each string in data.
     """
     n = len(data)
     order = np.argsort(hashes, kind="stable")
@@ -174,10 +209,10 @@ def repeated_starts(hashes: np.ndarray, columns: np.ndarray, starts: np.ndarray,
     flags = np.repeat(twice, starts)
     flag_at = np.cumsum(starts) - starts
     members = np.bincount(group, minlength=1)
-    # one at a time, groups of like sizes, so that rounds sort no more than they must
+    edges = np.searchsorted(group, np.arange(len(members) + 1))
     for a, b in _batches(members):
-        rows = order[(group >= a) & (group < b)]
-        _collection(rows, group[(group >= a) & (group < b)], columns, starts, data, flags, flag_at, length)
+        here = slice(edges[a], edges[b])
+        _collection(order[here], group[here], columns, starts, data, flags, flag_at, length, skip)
     return flags
 
 
@@ -192,7 +227,7 @@ def _batches(members: np.ndarray, most: int = 5_000) -> Iterator[tuple[int, int]
         yield start, len(members)
 
 
-def _collection(rows, group, columns, starts, data, flags, flag_at, length) -> None:
+def _collection(rows, group, columns, starts, data, flags, flag_at, length, skip) -> None:
     alone = np.bincount(group - group[0])[group - group[0]] < 2
     rows, group = rows[~alone], group[~alone]
     if not len(rows):
@@ -203,9 +238,10 @@ def _collection(rows, group, columns, starts, data, flags, flag_at, length) -> N
     left, right = int(first.min()), int(last.max())
     # the columns, from the right, each a run of one symbol of every string
     width = right - left + 1
-    padded = [b"\0" * a + data[i] + b"\0" * b for i, a, b in zip(rows.tolist(), (first - left).tolist(), (right - last).tolist())]
-    table = np.ascontiguousarray(np.frombuffer(b"".join(padded), np.uint8).reshape(len(rows), width).T[::-1])
-    del padded
+    lines = bytearray(len(rows) * width)
+    for i, at, size in zip(rows.tolist(), (np.arange(len(rows)) * width + first - left).tolist(), sizes.tolist()):
+        lines[at : at + size] = memoryview(data[i])[skip:]
+    lines = np.frombuffer(lines, np.uint8).reshape(len(rows), width)
     order = np.arange(len(rows))  # strings in the order of their suffixes, by collection
     common = np.zeros(len(rows), np.int32)  # common prefix of the suffix at each place with the one before it
     bound = np.concatenate([[True], group[1:] != group[:-1]])  # places where a collection begins
@@ -213,10 +249,12 @@ def _collection(rows, group, columns, starts, data, flags, flag_at, length) -> N
     of = np.cumsum(bound) - 1
     starts_here, at_flag = starts[rows], flag_at[rows]
     sentinel = np.int32(0)
-    for k in range(len(table)):
+    for k in range(width):
+        if k % 32 == 0:
+            table = np.ascontiguousarray(lines[:, max(0, width - k - 32) : width - k].T[::-1])
         at_column = right - k
         inside = (first <= at_column) & (at_column <= last)
-        symbol = np.where(inside, table[k].astype(np.int16) + 1, 0)[order]  # 0 stands for no symbol
+        symbol = np.where(inside, table[k % 32].astype(np.int16) + 1, 0)[order]  # 0 stands for no symbol
         mixed = np.zeros(len(begin), bool)
         np.logical_or.at(mixed, of[1:], (symbol[1:] != symbol[:-1]) & ~bound[1:])
         there = symbol > 0
@@ -277,36 +315,40 @@ def arrow_rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
 
 
-def find_twice(dealt: DataFrame, parts: int, length: int) -> DataFrame:
-    """(block, part, flags): for the sorted anchor keys of a block in a part, whether they came twice or more."""
+def find_twice(dealt: DataFrame, parts: int, length: int, hot: int = HOT) -> DataFrame:
+    """(block, part, flags): for the sorted anchor keys of a block in a part, 1 if they came twice or more, 2 if they are
+    hot, else 0."""
 
     def send(key: tuple, f: pa.Table) -> pa.Table:
         keys, count = Block(block_table(f["rows"].to_pylist())["text"].to_pylist(), length).keys()
         at = part_bounds(keys, parts)
-        rows = [(key[0].as_py(), p, pack_keys(keys[a:b]), np.packbits(count[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+        count = np.minimum(count, 255).astype(np.uint8)
+        rows = [(key[0].as_py(), p, pack_keys(keys[a:b]), squeeze(count[a:b].tobytes())) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
         return arrow_rows(rows, {"block": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "many": pa.binary()})
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         lists = [unpack_keys(x) for x in f["keys"]]
-        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(f["many"], lists)]
+        many = [np.frombuffer(expand(m), np.uint8) for m in f["many"]]
         every, place = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(place, weights=1 + np.concatenate(many), minlength=len(every))
+        total = np.bincount(place, weights=np.concatenate(many), minlength=len(every))
+        said = ((total > 1).astype(np.uint8) + (total > max(1, hot)))[place].astype(np.uint8)
         ends = np.cumsum([len(x) for x in lists])
-        data = [np.packbits(x).tobytes() for x in np.split((total > 1)[place], ends[:-1])]
+        data = [squeeze(x.tobytes()) for x in np.split(said, ends[:-1])]
         return pd.DataFrame({"block": f["block"], "part": f["part"], "flags": data})
 
     sent = dealt.groupBy("block").applyInArrow(send, "block int, part int, keys binary, many binary")
     return sent.groupBy("part").applyInPandas(answer, "block int, part int, flags binary")
 
 
-def chosen_runs(block: Block, right: pd.DataFrame, parts: int) -> np.ndarray:
-    """The block's runs whose anchors came twice."""
-    keys, count = block.keys()
+def choose_runs(block: Block, right: pd.DataFrame, parts: int) -> None:
+    """Keeps the block's runs whose anchors came twice; those of hot anchors in stretches."""
+    keys, _ = block.keys()
     at = part_bounds(keys, parts)
-    twice = np.ones(len(keys), bool)
+    said = np.ones(len(keys), np.uint8)
     for p, data in zip(right["part"], right["flags"]):
-        twice[at[p] : at[p + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(at[p + 1] - at[p])).astype(bool)
-    return np.flatnonzero(twice[np.searchsorted(keys, block.hash >> np.uint64(64 - 8 * KEY_BYTES))])
+        said[at[p] : at[p + 1]] = np.frombuffer(expand(data), np.uint8)
+    said = said[np.searchsorted(keys, block.hash >> np.uint64(64 - 8 * KEY_BYTES))]
+    block.choose(np.flatnonzero(said), said > 1)
 
 
 def _by_part(different: list[tuple], parts: int) -> np.ndarray:
@@ -318,29 +360,33 @@ def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) ->
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(block_table(left["rows"].to_pylist())["text"].to_pylist(), length)
-        different, count, _ = block.strings(chosen_runs(block, right.to_pandas(), parts))
+        choose_runs(block, right.to_pandas(), parts)
+        different, count, _ = block.strings()
         at = _by_part(different, parts)
         rows = [(left["block"][0].as_py(), p, _pack_strings(different[a:b], count[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
         return arrow_rows(rows, {"block": pa.int32(), "part": pa.int32(), "strings": pa.binary()})
 
     def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        row: dict[tuple, int] = {}
-        times: list[int] = []
+        row: dict[bytes, int] = {}  # hash and first column in front of the string; its length tells the starts
+        times = array("Q")
         place = []
         for packed in f["strings"]:
-            h, c, s, m, data = _unpack_strings(packed, length)
-            here = []
-            for r in zip(h.tolist(), c.tolist(), s.tolist(), data):
-                i = row.setdefault(r, len(row))
+            h, c, _, m, data = _unpack_strings(packed, length)
+            head = np.rec.fromarrays([h, c]).tobytes()
+            here = np.empty(len(data), np.int64)
+            for k, x in enumerate(data):
+                here[k] = i = row.setdefault(head[12 * k : 12 * k + 12] + x, len(row))
                 if i == len(times):
                     times.append(0)
-                here.append(i)
-            for i, x in zip(here, m.tolist()):
+            for i, x in zip(here.tolist(), m.tolist()):
                 times[i] += x
-            place.append(np.array(here, np.int64))
+            place.append(here)
             del data
-        hashes, columns, starts = (np.array([r[i] for r in row], t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-        flags = repeated_starts(hashes, columns, starts, [r[3] for r in row], np.array(times) > 1, length)
+        every = list(row)
+        del row
+        heads = np.frombuffer(b"".join([x[:12] for x in every]), np.dtype([("h", "<u8"), ("c", "<i4")]))
+        starts = np.fromiter(map(len, every), np.int64, len(every)) - 12 - length + 1
+        flags = repeated_starts(heads["h"], heads["c"].astype(np.int64), starts, every, np.array(times) > 1, length, 12)
         begin = np.cumsum(starts) - starts
         out = []
         for rows in place:
@@ -357,8 +403,8 @@ def find_repeats(dealt: DataFrame, twice: DataFrame, parts: int, length: int) ->
 
 def removed_bytes(block: Block, flags: pd.DataFrame, repeats: pd.DataFrame, parts: int) -> np.ndarray:
     """Whether each byte of the block's joined texts is removed."""
-    chosen = chosen_runs(block, flags, parts)
-    different, _, row = block.strings(chosen)
+    choose_runs(block, flags, parts)
+    different, _, row = block.strings()
     at = _by_part(different, parts)
     starts = np.array([r[2] for r in different], np.int64)
     begin = np.concatenate([[0], np.cumsum(starts)])
@@ -366,9 +412,9 @@ def removed_bytes(block: Block, flags: pd.DataFrame, repeats: pd.DataFrame, part
     for p, data in zip(repeats["part"], repeats["repeats"]):
         a, b = begin[at[p]], begin[at[p + 1]]
         hit[a:b] = np.unpackbits(np.frombuffer(expand(data), np.uint8), count=int(b - a)).astype(bool)
-    n = block.count[chosen]
+    n = block.count
     source = np.arange(int(n.sum())) + np.repeat(begin[row] - (np.cumsum(n) - n), n)
-    start = np.arange(int(n.sum())) + np.repeat(block.first[chosen] - (np.cumsum(n) - n), n)
+    start = np.arange(int(n.sum())) + np.repeat(block.first - (np.cumsum(n) - n), n)
     start = start[hit[source]]  # ascending
     change = np.zeros(len(block.raw) + 1, np.int8)
     if len(start):
@@ -386,12 +432,12 @@ def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return (np.bincount(character, weights=gone) > 0)[character]
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, characters: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, characters: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; with characters, of those the ones in whole
     characters) and rest (all other columns, as a struct)."""
-    parts = PARTS * partitions(docs.sparkSession)
     dealt = in_blocks(docs, carry=True)
-    twice = find_twice(dealt, parts, length)
+    parts = max(1, -(-dealt.text_bytes // PART_BYTES))
+    twice = find_twice(dealt, parts, length, hot)
     repeats = find_repeats(dealt, twice, parts, length)
     told = twice.select("block", "part", "flags", F.lit(None).cast("binary").alias("repeats")).unionByName(
         repeats.select("block", "part", F.lit(None).cast("binary").alias("flags"), "repeats")

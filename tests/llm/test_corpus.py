@@ -233,6 +233,37 @@ def test_suffix_dedup_runs_do_not_depend_on_the_order_of_texts():
     for order in (values, values[::-1], sorted(values)):
         block = suffix_dedup.Block(order, 200)
         assert len(block.raw) > 2 * suffix_dedup.SLICE
-        different, count, _ = block.strings(np.arange(len(block.hash)))
-        found.append((different, count.tolist(), [x.tolist() for x in block.keys()]))
+        keys = [x.tolist() for x in block.keys()]
+        block.choose(np.arange(len(block.hash)), np.zeros(len(block.hash), bool))
+        different, count, _ = block.strings()
+        found.append((different, count.tolist(), keys))
     assert found[0] == found[1] == found[2]
+
+
+def test_suffix_dedup_parts_are_even():
+    r = random.Random(6)
+    block = suffix_dedup.Block(["".join(r.choices("abcdefgh ", k=200_000))], 200)
+    sizes = np.diff(suffix_dedup.part_bounds(block.keys()[0], 50))
+    assert sizes.max() < 2 * sizes.mean()
+
+
+@pytest.mark.parametrize("length", [200, 60])
+def test_suffix_dedup_cuts_hot_anchors(spark, length):
+    r = random.Random(7)
+    prose = lambda n: "".join(r.choices("etaoin shrdlu", k=n))
+    line, passage = prose(90), prose(260)
+    values = texts(8, 12) + [prose(200) + line + prose(200) for _ in range(40)] + [prose(100) + passage + prose(100) for _ in range(20)]
+    df, rows = frame(spark, values)
+    got = sorted((tuple(x) for x in suffix_dedup.digests(suffix_dedup.dedup(df, length, hot=10)).collect()), key=str)
+    assert got == sorted(((x[0], *y) for x, y in zip(rows, removed([x[1] for x in rows], length))), key=str)
+
+
+def test_suffix_dedup_hot_surroundings_go_to_many_collections():
+    r = random.Random(8)
+    line = "the line of 40 bytes that is everywhere."
+    block = suffix_dedup.Block([f"{r.random()} " * 15 + line + f" {r.random()}" * 15 for _ in range(200)], 200)
+    every = np.arange(len(block.hash))
+    hashes, count = np.unique(block.hash, return_counts=True)
+    assert count.max() > 40
+    block.choose(every, np.isin(block.hash, hashes[count > 40]))
+    assert np.unique(block.hash, return_counts=True)[1].max() < 20
