@@ -58,16 +58,23 @@ def split_signals(known: DataFrame) -> DataFrame:
 def matched_meets(targets: DataFrame, index: DataFrame, preferred: str, least: int = 8) -> DataFrame:
     """The code of each target's meet: 3 for an equal normalised name, 2 where one contains the other and both have ``least``
     characters; among the best, one code, or one of the preferred class, matches. targets: id, year, name; index: year, name,
-    code, class. Both sides are parted by year, so a target meets the meets of its year only."""
+    code, class. Each different name of a year meets each different name of the index in that year once, however many
+    targets and meets have it."""
     key = lambda c: F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", "")
-    t, i = targets.withColumn("key", key("name")).alias("t"), index.withColumn("key", key("name")).alias("i")
+    keyed = targets.select("id", "year", key("name").alias("key"))
+    names = keyed.select("year", "key").where("year is not null and key is not null").distinct()
+    meets = index.select("year", key("name").alias("key"), "code", "class").groupBy("year", "key").agg(
+        F.collect_set("code").alias("codes"), F.collect_set(F.when(F.col("class") == preferred, F.col("code"))).alias("liked")
+    )
+    t, i = names.alias("t"), meets.alias("i")
     inside = F.contains(F.col("t.key"), F.col("i.key")) | F.contains(F.col("i.key"), F.col("t.key"))
     long = F.least(F.length("t.key"), F.length("i.key")) >= least
     score = F.when(F.col("t.key") == F.col("i.key"), 3).when(inside & long, 2).otherwise(0)
-    met = t.join(i, F.col("t.year") == F.col("i.year")).select(F.col("t.id").alias("id"), F.col("i.code").alias("code"), F.col("i.class").alias("class"), score.alias("score"))
-    found = met.where("score > 0").groupBy("id", "score").agg(F.collect_set("code").alias("codes"), F.collect_set(F.when(F.col("class") == preferred, F.col("code"))).alias("liked"))
-    best = found.groupBy("id").agg(F.max(F.struct("score", "codes", "liked")).alias("b"))
-    out = targets.select("id").join(best, "id", "left")
+    met = t.join(i, F.col("t.year") == F.col("i.year")).select(F.col("t.year").alias("year"), F.col("t.key").alias("key"), "codes", "liked", score.alias("score"))
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    found = met.where("score > 0").groupBy("year", "key", "score").agg(flat("codes"), flat("liked"))
+    best = found.groupBy("year", "key").agg(F.max_by(F.struct("codes", "liked"), "score").alias("b"))
+    out = keyed.join(best, ["year", "key"], "left")
     code = F.when(F.size("b.codes") == 1, F.col("b.codes")[0]).when(F.size("b.liked") == 1, F.col("b.liked")[0])
     status = F.when(F.col("b").isNull(), "name-not-matched").when(code.isNull(), "ambiguous").otherwise("matched")
     return out.select("id", F.coalesce(code, F.lit("")).alias("code"), status.alias("status"))

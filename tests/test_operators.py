@@ -199,3 +199,31 @@ def test_graph_queries_read_every_line(spark, tmp_path):
     assert hops == set(hops_from(rows, [1]).items()) and max(h for _, h in hops) == 5
     found = {tuple(x) for x in catalogue.QUERIES["components_all"](spark, str(tmp_path)).collect()}
     assert found == {(a, min(hops_from(rows, [a]))) for _, a in rows}
+
+
+def test_meets_join_different_names_not_rows(spark):
+    from paceline.operators.identity import matched_meets
+
+    targets = spark.createDataFrame([(i, 2000 + i % 2, ["Open Cup", "open-cup", "The President Cup", None][i % 4]) for i in range(4000)], "id long, year long, name string")
+    index = spark.createDataFrame([(2000 + i % 2, "president cup" if i % 3 else "OPEN CUP", f"m{i % 6}", str(1 + i % 2)) for i in range(3000)], "year long, name string, code string, class string")
+    out = matched_meets(targets, index, "2")
+    got = {r["id"]: (r["code"], r["status"]) for r in out.collect()}
+    assert len(got) == 4000
+    assert got[0] == ("m0", "matched") and got[1] == ("m3", "matched") and got[2] == ("", "ambiguous") and got[3] == ("", "name-not-matched")
+    met = out.queryExecution.executedPlan if hasattr(out, "queryExecution") else out._jdf.queryExecution().executedPlan()
+    made = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        if "Join" in name and rows.isDefined():
+            made.append(rows.get().value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(met)
+    assert made and max(made) <= 4000
