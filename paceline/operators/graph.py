@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,12 @@ def edges(entries: DataFrame) -> DataFrame:
 
 def memberships(entries: DataFrame) -> DataFrame:
     """athlete and the least athlete reachable over shared races, over the bipartite graph of athletes and races: no
-    pairs of a race are made. Each round passes the least label through races and shortens pointers."""
-    rows = cut(entries.select("race", "athlete").distinct())
+    pairs of a race are made. Each task first joins what its races join, so that what is left has at most a row for each
+    athlete and task; then each round passes the least label through races and shortens pointers."""
+    rows = entries.select("race", "athlete").where("race is not null and athlete is not null")
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["athlete"].dataType.simpleString()
+    rows = cut(rows.repartition(n, "race").mapInArrow(contracted, f"race {kind}, athlete {kind}").distinct())
     label = rows.select("athlete").distinct().withColumn("component", F.col("athlete"))
     while True:
         by_race = rows.join(label, "athlete").groupBy("race").agg(F.min("component").alias("m"))
@@ -32,6 +40,29 @@ def memberships(entries: DataFrame) -> DataFrame:
         label = new
 
 
+def contracted(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Of whole races (race, athlete): the least athlete that each one reaches over them, and the athlete."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    race, athlete = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    _, race = np.unique(race, return_inverse=True)
+    names, who = np.unique(athlete, return_inverse=True)
+    who = who[np.argsort(race, kind="stable")]
+    race.sort()
+    starts = np.flatnonzero(np.r_[True, race[1:] != race[:-1]])
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, who, np.minimum.reduceat(label[who], starts)[race])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(names[label]), pa.array(names)], ["race", "athlete"])
+
+
 def degrees(links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("athlete")).unionAll(links.select("b"))
     return ends.groupBy("athlete").agg(F.count("*").alias("degree"))

@@ -29,8 +29,9 @@ facts AS (SELECT athlete, season, birth_year, sex, count(DISTINCT meet) AS n_mee
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    """race, athlete, score, time, status, rank: a row for each supplier of an order."""
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("athlete")).agg(
+    """race, athlete, score, time, status, rank: a row for each supplier of an order. Lines are dealt
+    by order once, which serves their sums, the ranks and joins by order."""
+    lines = table(spark, d, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("athlete")).agg(
         F.max("l_extendedprice").alias("score"), F.min("l_quantity").alias("time"), F.min("l_returnflag").alias("flag")
     )
     from pyspark.sql import Window as W
