@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the session names; a folder of its own only where none is named."""
-    spark = df.sparkSession
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same as compressed columns, for large tables that are read several times."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set where it is not yet."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="paceline-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
