@@ -21,39 +21,41 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import stored
+from paceline.llm.common import settings, stored
 from paceline.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local long"
+COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
+KINDS = [pa.int32() if c.endswith(" int") else pa.int64() for c in PIECES.split(", ")]
+#: Bytes of rows that Spark hands over at once (64 MB by its own setting, which JVM and worker each hold more than once).
+BATCH_BYTES = 4_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFrame:
     """The pieces of every document, each with its rank among its task's pieces of the same length."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder("byte", tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for f in frames:
-            for a in range(0, len(f), 1000):
-                texts = [t or "" for t in f["text"].iloc[a : a + 1000]]
-                rows = []
-                for doc_id, ids in zip(f["doc_id"].iloc[a : a + 1000], encode.encode(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), length):
-                        piece = ids[start : start + length]
-                        n = len(piece)
-                        rows.append((doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), part, seen.get(n, 0)))
-                        seen[n] = seen.get(n, 0) + 1
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-                out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")
-                yield out
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+        for batch in batches:
+            doc_ids, texts = (c.to_pylist() for c in batch.columns)
+            rows = []
+            for doc_id, ids in zip(doc_ids, encode.encode([t or "" for t in texts])):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for start in range(0, len(ids), length):
+                    piece = ids[start : start + length]
+                    n = len(piece)
+                    rows.append((doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), part, seen.get(n, 0)))
+                    seen[n] = seen.get(n, 0) + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], COLUMNS)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def pack_histogram(histogram: dict[int, int], length: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -109,7 +111,8 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, end_id, length), "pieces")
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}):
+        cut = stored(pieces(docs, tokenizer, end_id, length), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = stored(counts, "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -2,10 +2,11 @@
 
 Most words of a corpus repeat, and BPE never merges across the cuts made before it, so a text is cut at white
 space, each distinct piece is encoded once for as long as it stays in a bounded cache, and ids are gathered by
-position. Texts whose cuts depend on their neighbours are encoded whole by the library.
+position. A full cache keeps the pieces used most, so pieces that come once don't drive out those that repeat. Texts
+whose cuts depend on their neighbours are encoded whole by the library.
 
 An empty text has no ids. Equal pieces have equal ids wherever they stand, so repeats cost a look-up each. A text of any
-length is cut whole; texts are encoded in groups of some million characters, and a single one over that is its own
+length is cut whole; texts are encoded in groups of about a million characters, and a single one over that is its own
 group. Nulls are the callers' matter: every operator makes them empty before.
 """
 
@@ -18,8 +19,10 @@ import numpy as np
 
 from paceline.llm.bpe import ArrayBpe, ByteBpe, WordBpe, gather
 
-#: Pieces kept in each of the cache's two generations.
-GENERATION = 500_000
+#: Pieces that a full cache keeps; it is full at twice as many.
+GENERATION = 200_000
+#: Characters of texts that are encoded at once.
+GROUP_CHARS = 1_000_000
 
 _ENCODERS: dict[tuple[str, str], "CachedEncoder"] = {}
 
@@ -60,7 +63,7 @@ class CachedEncoder:
         self.library.no_padding()
         self.bpe = self.bpe_kind(path)
         self._index = _Index()
-        self._last = np.zeros(0, np.int64)
+        self._uses = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
         self._start = np.zeros(1, np.int64)
 
@@ -87,27 +90,31 @@ class CachedEncoder:
         return []
 
     def _forget(self) -> None:
-        """Keeps the pieces of the last group and the newest others, up to a generation."""
-        used = np.zeros(len(self._index), bool)
-        used[self._last] = True
-        used[max(0, len(used) - max(0, GENERATION - int(used.sum()))) :] = True
+        """Keeps the most used pieces, of equally used ones the newest; what was used long ago counts half each time."""
+        order = np.argsort(self._uses, kind="stable")[max(0, len(self._uses) - GENERATION) :]
+        used = np.zeros(len(self._uses), bool)
+        used[order] = True
         kept = [p for p, u in zip(self._index, used.tolist()) if u]
         self._flat, self._start = gather(self._flat, self._start, np.flatnonzero(used))
         self._index = _Index(zip(kept, range(len(kept))))
+        self._uses = self._uses[used] // 2
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
         """The cache's row of each piece; new pieces are encoded."""
         if len(self._index) > 2 * GENERATION:
             self._forget()
         index = self._index
-        self._last = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        uses = np.bincount(rows, minlength=len(index))
+        uses[: len(self._uses)] += self._uses
+        self._uses = uses
         new, index.new = index.new, []
         if new:
             parts = [self.encode_pieces(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
             flat, sizes = (np.concatenate(x) for x in zip(*parts))
             self._flat = np.concatenate([self._flat, flat])
             self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(sizes)])
-        return self._last
+        return rows
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text, as arrays of unsigned 32-bit integers."""
@@ -117,7 +124,7 @@ class CachedEncoder:
         for text in texts:
             group.append((text, self.pieces(text)))
             size += len(text)
-            if size > 4_000_000:
+            if size > GROUP_CHARS:
                 out += self._encode_group(group)
                 group, size = [], 0
         return out + self._encode_group(group)

@@ -1,5 +1,7 @@
 import io
+import os
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -37,6 +39,57 @@ def test_cache_forgets_and_stays_right(monkeypatch):
         assert [list(map(int, g)) for g in e.encode(t)] == [x.ids for x in library.encode_batch(t, add_special_tokens=False)]
 
 
+def test_full_cache_keeps_what_is_used_most(monkeypatch):
+    monkeypatch.setattr(tokens, "GENERATION", 50)
+    e = tokens.ByteEncoder(BYTE)
+    often = [f"often{i}" for i in range(40)]
+    e.encode([" " + " ".join(often * 1000)])
+    for i in range(8):
+        e.encode([" " + " ".join(f"once{i}x{k}" for k in range(60))])
+        assert len(e._index) <= 2 * 50 + 60
+    assert set(often) <= set(e._index)
+
+
+def test_encoder_holds_the_pieces_of_few_texts_at_once(monkeypatch):
+    e, most = tokens.ByteEncoder(BYTE), 0
+    encode_group = e._encode_group
+
+    def spy(group):
+        nonlocal most
+        most = max(most, sum(len(t) for t, _ in group))
+        return encode_group(group)
+
+    monkeypatch.setattr(e, "_encode_group", spy)
+    found = e.encode([" word" * 20_000] * 40)
+    assert len(found) == 40 and most <= 1_200_000
+
+
+def test_packing_is_handed_few_texts_at_once(spark, monkeypatch):
+    own, folder = packing.encoder, spark._jvm.java.lang.System.getProperty("java.io.tmpdir")
+    log = os.path.join(folder, f"packing-{uuid.uuid4().hex}")
+
+    def spied(kind, path):
+        e = own(kind, path)
+
+        class Spy:
+            def encode(self, batch):
+                with open(log, "a") as f:
+                    f.write(f"{len(batch)} {sum(map(len, batch))}\n")
+                return e.encode(batch)
+
+        return Spy()
+
+    monkeypatch.setattr(packing, "encoder", spied)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    df = spark.range(0, 900, 1, 1).selectExpr("id doc_id", "repeat(concat('w', id, ' '), 6000) text")
+    found = packing.pack(df, BYTE, 0, 1024)
+    assert found.where("start = 0").count() == 900
+    held = [tuple(map(int, x.split())) for x in open(log)]
+    assert sum(n for n, _ in held) == 900 and max(size for _, size in held) < 6_000_000
+    assert spark.conf.get(setting) == before
+
+
 def test_word_table_round_trip(spark):
     import hashlib
 
